@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: What lower-casing A-Z does to a byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -107,7 +108,7 @@ def words(raw: np.ndarray, at: np.ndarray, table: bytes) -> Words:
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """The batch cut into runs of rows with about `most` bytes of text each (a longer text is a run of its own)."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     begin = 0
     while begin < batch.num_rows:
         total = np.cumsum(lengths[begin:])
