@@ -6,21 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_binary
+from . import decontaminate, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items stand in which documents."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents, writes the blocks and reads every document's place and checksum back."""
     return token_binary.read_token_index(spark, token_binary.write_token_blocks(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
     "op10_simple8b_tokens": op10_simple8b_tokens,
 }
 
+#: A-Z lower-cased, and words of ASCII letters, digits and characters beyond ASCII (null: no words).
+_SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_ALNUM = rf"regexp_extract_all({_SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SQL_BLANK = rf"regexp_extract_all({_SQL_LOWER}, '[^\x20\x09-\x0D]+')"
+
+_SQL_CONTAMINATION = f"""
+    words AS (SELECT doc_id, {_SQL_ALNUM} AS w FROM documents),
+    items AS (SELECT item_id, {_SQL_ALNUM} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, w[i : i + least(len(w), 10) - 1] AS v
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+    places AS (
+        SELECT doc_id, i, n, w[i : i + n - 1] AS v
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT len(v) AS n FROM windows))),
+    found AS (SELECT doc_id, item_id, i, n FROM places JOIN windows USING (v)),
+    hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM found) GROUP BY doc_id)"""
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_suffix_array_decontamination": f"""
+        WITH {_SQL_CONTAMINATION}
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
