@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, token_binary
+from . import decontaminate, license_scan, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,18 @@ def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of each document, word for word (base) and with errors."""
+    spans = license_scan.license_spans(table(spark, sf_dir, "documents"))
+    names = [n.label for n in license_scan.NOTICES[: license_scan.BASE]]
+    sizes = F.create_map(*[F.lit(x) for n in license_scan.NOTICES for x in (n.label, float(len(n.phrase)))])
+    base = F.filter("spans", lambda s: s["exact"] & s["label"].isin(names))
+    places = F.transform(base, lambda s: s["first_word"].cast("long"))
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda s: s["label"]))), ",")
+    likeness = F.transform("spans", lambda s: 1 - s["edits"] / sizes[s["label"]])
+    return spans.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), F.coalesce(F.array_max(likeness), F.lit(0.0)).alias("score"))
+
+
 def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents, writes the blocks and reads every document's place and checksum back."""
     return token_binary.read_token_index(spark, token_binary.write_token_blocks(table(spark, sf_dir, "documents")))
@@ -25,6 +38,7 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
+    "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
     "op10_simple8b_tokens": op10_simple8b_tokens,
 }
 
