@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, token_binary
+from . import decontaminate, license_scan, source_mix, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), F.coalesce(F.array_max(likeness), F.lit(0.0)).alias("score"))
 
 
+def op5_pareto_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document enters a mix of sources by weight."""
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents, writes the blocks and reads every document's place and checksum back."""
     return token_binary.read_token_index(spark, token_binary.write_token_blocks(table(spark, sf_dir, "documents")))
@@ -39,6 +44,7 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
     "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
+    "op5_pareto_source_mix": op5_pareto_source_mix,
     "op10_simple8b_tokens": op10_simple8b_tokens,
 }
 
@@ -62,6 +68,39 @@ _SQL_CONTAMINATION = f"""
         SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM found) GROUP BY doc_id)"""
 
+def _sql_mix(documents: str) -> str:
+    """Sizes, targets and draws of a mix of `documents`, as common table expressions; the last is `mixed`."""
+    return rf"""
+    measured AS (
+        SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS k
+        FROM {documents}),
+    sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM measured GROUP BY source),
+    weighed AS (
+        SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w, source_size * 2 AS cap
+        FROM sizes),
+    levels AS (
+        SELECT *, row_number() OVER fill AS place,
+            (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER below, 0))
+                / CAST(sum(w) OVER () - coalesce(sum(w) OVER below, 0) AS DOUBLE) AS level
+        FROM weighed
+        WINDOW fill AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST),
+            below AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    settled AS (SELECT arg_min(level, place) AS level FROM levels WHERE level <= CAST(cap AS DOUBLE) / w),
+    targets AS (
+        SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(settled.level * w, CAST(cap AS DOUBLE))) AS target
+        FROM levels, settled),
+    dues AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM targets),
+    ranked AS (
+        SELECT measured.*, source_size, target, due, floor(due) AS whole, due - floor(due) AS p,
+            (((k + 0.5) / 4503599627370496) / (1 - (k + 0.5) / 4503599627370496)) AS odds
+        FROM measured JOIN dues ON measured.source IS NOT DISTINCT FROM dues.source),
+    mixed AS (
+        SELECT *, CAST(whole AS BIGINT) + CASE WHEN p > 0 AND sum(size) OVER drawn - size / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS copies
+        FROM ranked
+        WINDOW drawn AS (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN odds / (p / (1 - p)) END, k, size ROWS UNBOUNDED PRECEDING))"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_suffix_array_decontamination": f"""
@@ -69,4 +108,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op5_pareto_source_mix": f"""
+        WITH {_sql_mix('documents')}
+        SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM mixed""",
 }
