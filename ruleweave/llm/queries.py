@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, source_mix, token_binary
+from . import decontaminate, exact_search, license_scan, source_mix, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op5_pareto_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all other vectors for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", exact_search.scaled(F.col("embedding")).alias("vector"))
+    return exact_search.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents, writes the blocks and reads every document's place and checksum back."""
     return token_binary.read_token_index(spark, token_binary.write_token_blocks(table(spark, sf_dir, "documents")))
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
     "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
     "op5_pareto_source_mix": op5_pareto_source_mix,
+    "op9_kd_tree_top_k": op9_kd_tree_top_k,
     "op10_simple8b_tokens": op10_simple8b_tokens,
 }
 
@@ -111,4 +118,15 @@ ORACLES: dict[str, str] = {
     "op5_pareto_source_mix": f"""
         WITH {_sql_mix('documents')}
         SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM mixed""",
+    "op9_kd_tree_top_k": """
+        WITH scaled AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+            FROM scaled q JOIN scaled c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5""",
 }
