@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_search, license_scan, source_mix, token_binary
+from . import decontaminate, exact_search, license_scan, quality, source_mix, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op5_pareto_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of two thirds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    third = lambda: F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(~third()))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", F.coalesce(third(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of all other vectors for every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", exact_search.scaled(F.col("embedding")).alias("vector"))
@@ -51,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
     "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
     "op5_pareto_source_mix": op5_pareto_source_mix,
+    "op8_gam_quality": op8_gam_quality,
     "op9_kd_tree_top_k": op9_kd_tree_top_k,
     "op10_simple8b_tokens": op10_simple8b_tokens,
 }
