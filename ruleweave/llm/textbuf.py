@@ -19,6 +19,8 @@ BLANK_SEPARATED = bytes(32 if b == 32 or 9 <= b <= 13 else LOWER[b] for b in ran
 #: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 ALNUM = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
 
+#: Bytes that are hashed together.
+STRETCH = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -79,14 +81,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same in every batch."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(len(self.data) + 1)
-        total = np.empty(len(self.data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE_CODE[self.data] * up[: len(self.data)], out=total[1:], dtype=np.uint64)
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        """A 64-bit hash of each word's bytes, the same in every batch; works through STRETCH bytes at a time."""
+        out = np.empty(len(self.starts), np.uint64)
+        begin = 0
+        while begin < len(out):
+            base = int(self.starts[begin])
+            end = max(begin + 1, int(np.searchsorted(self.starts, base + STRETCH)))
+            data = self.data[base : self.ends[end - 1]]
+            up, down = _powers(len(data) + 1)
+            total = np.empty(len(data) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:], dtype=np.uint64)
+            first = self.starts[begin:end] - base
+            out[begin:end] = mix((total[self.ends[begin:end] - base] - total[first]) * down[first])
+            begin = end
+        return out
 
 
 def words(raw: np.ndarray, at: np.ndarray, table: bytes) -> Words:
@@ -106,7 +115,7 @@ def words(raw: np.ndarray, at: np.ndarray, table: bytes) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, at))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch cut into runs of rows with about `most` bytes of text each (a longer text is a run of its own)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     begin = 0

@@ -111,6 +111,12 @@ def block_ids(record: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(body, n, escaped, np.frombuffer(record, "<u8", n_escapes, at + 4 * n_escapes)), lengths
 
 
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two sets of columns as one, ordered by the first column."""
+    order = np.argsort(np.concatenate((a[0], b[0])), kind="stable")
+    return tuple(np.concatenate(x)[order] for x in zip(a, b, strict=True))
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and whose words never span it.
 
@@ -131,8 +137,31 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[int, int] = {}
-        self.begin, self.length, self.pool, self.used = [], [], [], 0
+        """The remembered pieces: hashes in order with their ids' places, as a large and a recent part, and all ids."""
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.known = [none, none]
+        self.pool = [np.zeros(0, np.uint32)]
+        self.pooled = 0
+
+    def recall(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash's ids begin in the pool (-1: not remembered) and how many they are."""
+        begin, length = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for keys, at, n in self.known:
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                same = keys[k] == hashes
+                begin[same], length[same] = at[k[same]], n[k[same]]
+        return begin, length
+
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        got = [x for k in range(0, len(texts), 4096) for x in self.whole(texts[k : k + 4096])]
+        length = np.array([len(x) for x in got], np.int64)
+        begin = self.pooled + np.cumsum(length) - length
+        self.pool = [np.concatenate((*self.pool, np.array([i for x in got for i in x], np.uint32)))]
+        self.pooled = len(self.pool[0])
+        self.known[1] = _merged(self.known[1], (hashes, begin, length))
+        if 4 * len(self.known[1][0]) > len(self.known[0][0]):
+            self.known = [_merged(*self.known), tuple(x[:0] for x in self.known[1])]
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -172,35 +201,24 @@ class WordEncoder:
         first = np.concatenate((slot, [total]))[words.first]
         parts = textbuf.Words(data, s2, e2, first)
         codes, seen = pd.factorize(parts.hashes())
-        known = np.array([self.code.get(h, -1) for h in seen.tolist()], np.int64)
-        fresh = np.flatnonzero(known < 0)
+        begin, length = self.recall(seen)
+        fresh = np.flatnonzero(begin < 0)
         if len(fresh):
-            if len(self.code) + len(fresh) > REMEMBERED:
+            if sum(len(x[0]) for x in self.known) + len(fresh) > REMEMBERED:
                 self.forget()
-                known[:] = -1
                 fresh = np.arange(len(seen))
             one = np.zeros(len(seen), np.int64)
             one[codes[::-1]] = np.arange(len(codes))[::-1]
-            body = data.tobytes()
             spots = one[fresh]
-            texts = [body[a:b].decode() for a, b in zip(s2[spots].tolist(), e2[spots].tolist(), strict=True)]
-            base = len(self.code)
-            got = [x for k in range(0, len(texts), 4096) for x in self.whole(texts[k : k + 4096])]
-            lengths = np.array([len(x) for x in got], np.int64)
-            self.begin.append(self.used + np.cumsum(lengths) - lengths)
-            self.length.append(lengths)
-            self.pool.append(np.array([i for x in got for i in x], np.uint32))
-            self.used += int(lengths.sum())
-            self.code.update(zip(seen[fresh].tolist(), range(base, base + len(fresh)), strict=True))
-            known[fresh] = np.arange(base, base + len(fresh))
-            self.begin, self.length, self.pool = ([np.concatenate(x)] for x in (self.begin, self.length, self.pool))
-        pool = np.concatenate((self.pool[0] if self.pool else np.zeros(0, np.uint32), np.array([end], np.uint32)))
-        begin = np.concatenate((self.begin[0] if self.begin else np.zeros(0, np.int64), [len(pool) - 1]))
-        length = np.concatenate((self.length[0] if self.length else np.zeros(0, np.int64), [1]))
+            body = data.tobytes()
+            self.learn(seen[fresh], [body[a:b].decode() for a, b in zip(s2[spots].tolist(), e2[spots].tolist(), strict=True)])
+            begin, length = self.recall(seen)
+        pool = np.concatenate((self.pool[0], np.array([end], np.uint32)))
+        begin, length = np.concatenate((begin, [len(pool) - 1])), np.concatenate((length, [1]))
         docs = len(at) - 1
         order = np.full(len(codes) + docs, len(begin) - 1, np.int64)
         owner = np.repeat(np.arange(docs), np.diff(first))
-        order[np.arange(len(codes)) + owner] = known[codes]
+        order[np.arange(len(codes)) + owner] = codes
         n = length[order]
         done = np.cumsum(n)
         ids = pool[np.repeat(begin[order] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)]
