@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_search, license_scan, quality, source_mix, token_binary
+from . import decontaminate, exact_search, language, license_scan, quality, source_mix, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op5_pareto_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    fourth = lambda: F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = language.fit_languages(docs.where(~fourth()))
+    found = language.identify_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fourth(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels of two thirds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
     "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
     "op5_pareto_source_mix": op5_pareto_source_mix,
+    "op7_centroid_language": op7_centroid_language,
     "op8_gam_quality": op8_gam_quality,
     "op9_kd_tree_top_k": op9_kd_tree_top_k,
     "op10_simple8b_tokens": op10_simple8b_tokens,
