@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_search, language, license_scan, quality, source_mix, token_binary
+from . import decontaminate, exact_search, language, license_scan, near_dedup, quality, source_mix, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share at least 85 of 100 shingles of three words."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100), band_rows=near_dedup.BAND_ROWS)
+
+
 def op4_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of each document, word for word (base) and with errors."""
     spans = license_scan.license_spans(table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
     "op5_pareto_source_mix": op5_pareto_source_mix,
     "op7_centroid_language": op7_centroid_language,
@@ -135,6 +141,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op3_minhash_near_dedup": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, {_SQL_BLANK} AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+                ELSE list_distinct([w[i : i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+            FROM words),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)""",
     "op5_pareto_source_mix": f"""
         WITH {_sql_mix('documents')}
         SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM mixed""",
