@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_search, language, license_scan, near_dedup, quality, source_mix, token_binary
+from . import decontaminate, exact_search, language, license_scan, near_dedup, pseudonyms, quality, source_mix, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_pareto_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by pseudonyms of the same form."""
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key=b"a key for the sample tables")
+
+
 def op7_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
     "op5_pareto_source_mix": op5_pareto_source_mix,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op7_centroid_language": op7_centroid_language,
     "op8_gam_quality": op8_gam_quality,
     "op9_kd_tree_top_k": op9_kd_tree_top_k,
