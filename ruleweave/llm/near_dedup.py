@@ -32,13 +32,13 @@ SCREEN_ROWS, CONFIRM_ROWS = 1024, 512
 #: How far below the threshold a signature's estimate may lie: over 4 standard errors of 128 bins.
 SLACK = 0.13
 
-SIGNED = "doc_id long, n long, fp1 long, fp2 long, bands array<long>, sig binary"
+SIGNED = "doc_id long, text_hash long, n long, fp1 long, fp2 long, bands array<long>, sig binary"
 
 
-def _sets(part: pa.RecordBatch, table: bytes, words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _sets(part: pa.RecordBatch, table: bytes, words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     done = 0
     for shingles, begin in shingle_sets(*textbuf.as_texts(part.column("text")), table, words):
-        yield part.column("doc_id").slice(done, len(begin) - 1), shingles, begin
+        yield part.slice(done, len(begin) - 1), shingles, begin
         done += len(begin) - 1
 
 
@@ -48,7 +48,7 @@ def _signatures(table: bytes, words: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbuf.pieces(batch, "text"):
-                for ids, shingles, begin in _sets(part, table, words):
+                for rows_, shingles, begin in _sets(part, table, words):
                     sig, fp = one_permutation(shingles, begin, BINS), fingerprints(shingles, begin)
                     keys = np.zeros((len(sig), bands), np.uint64)
                     for j in range(rows):
@@ -56,7 +56,7 @@ def _signatures(table: bytes, words: int, rows: int):
                     keys = textbuf.mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
                     small_sig = (textbuf.mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
                     offsets = pa.array((np.arange(len(sig) + 1) * bands).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begin)), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([s.tobytes() for s in small_sig], pa.binary())], names=["doc_id", "n", "fp1", "fp2", "bands", "sig"])
+                    yield pa.RecordBatch.from_arrays([rows_.column("doc_id"), rows_.column("text_hash"), pa.array(np.diff(begin)), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([s.tobytes() for s in small_sig], pa.binary())], names=["doc_id", "text_hash", "n", "fp1", "fp2", "bands", "sig"])
 
     return run
 
@@ -163,7 +163,7 @@ def _dealt(members: DataFrame, most: int) -> DataFrame:
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: bytes = textbuf.BLANK_SEPARATED, words: int = 5, threshold: tuple[int, int] = (80, 100), band_rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """(signed, classes): every row with its set's fingerprint; every class with its component (a label) where it has links."""
     texts = bare(docs, doc_id=id_col, text=text_col)
-    signed = kept(texts.mapInArrow(_signatures(table, words, band_rows), SIGNED), "signed")
+    signed = kept(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures(table, words, band_rows), SIGNED), "signed")
     classes = kept(signed.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.col("fp1")), "classes")
     member = classes.select("node", F.explode("bands").alias("key"))
     full = kept(member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
@@ -242,3 +242,28 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     own = F.when(signed["n"] > 0, F.col("component")).otherwise(F.col("doc_id"))
     rows = signed.select("doc_id", "n", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, one of each group of near-copies: the one with the smallest id (null ids last).
+
+    Of repeated rows one stays; rows without shingles all stay. See near_duplicates.
+    """
+    signed, classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
+    labels = kept(classes.select("fp1", "fp2", F.coalesce("label", "node").alias("label")), "class-labels")
+    rows = kept(signed.where("n > 0").join(labels, ["fp1", "fp2"]).select("doc_id", "text_hash", "label"), "row-labels")
+    best = kept(rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")), "best")
+    of_best = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("text_hash") == F.col("best.text_hash"))
+    gone = kept(rows.join(best, "label").where(~of_best).select("doc_id", "text_hash").distinct(), "gone")
+    same = kept(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated")
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = docs.toDF(*at.values()).withColumn("text hash", F.xxhash64(at[text_col]))
+
+    def matched(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = small(keys)
+        return df.join(keys, df[at[id_col]].eqNullSafe(keys["doc_id"]) & (df["text hash"] == keys["text_hash"]), how)
+
+    out = matched(out, gone, "left_anti")
+    if not same.isEmpty():
+        out = matched(out, same, "left_anti").union(matched(out, same, "left_semi").dropDuplicates([at[id_col], "text hash"]))
+    return out.select(*at.values()).toDF(*docs.columns)

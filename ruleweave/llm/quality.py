@@ -201,12 +201,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     return fit(table[:, :-1], table[:, -1], **options)
 
 
-def score_quality(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score column: how likely label 1 is, from 0 to 1.
-
-    Whole texts are scored; a null text scores as an empty one. All columns stay as
-    they are, also if they share names with ours; score_col comes last.
-    """
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The columns of docs as c0, c1, ..., and s, the score."""
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     text = f"c{docs.columns.index(text_col)}"
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -217,4 +213,18 @@ def score_quality(docs: DataFrame, model: Model, *, text_col: str = "text", scor
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared_model.value.score(features(part.column(text))))], names=[*part.schema.names, "s"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, s double").toDF(*docs.columns, score_col)
+    return rows.mapInArrow(run, f"{schema}, s double")
+
+
+def score_quality(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a score column: how likely label 1 is, from 0 to 1.
+
+    Whole texts are scored; a null text scores as an empty one. All columns stay as
+    they are, also if they share names with ours; score_col comes last.
+    """
+    return _scored(docs, model, text_col).toDF(*docs.columns, score_col)
+
+
+def good_quality(docs: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score `least` or more."""
+    return _scored(docs, model, text_col).where(F.col("s") >= least).drop("s").toDF(*docs.columns)
