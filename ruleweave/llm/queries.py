@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_search, language, license_scan, near_dedup, pseudonyms, quality, source_mix, token_binary
+from . import decontaminate, exact_search, language, license_scan, line_dedup, near_dedup, pseudonyms, quality, source_mix, token_binary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that stand elsewhere before."""
+    return line_dedup.deduplicated_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark items stand in which documents."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -76,6 +81,7 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_line_dedup": op1_simhash_line_dedup,
     "op2_suffix_array_decontamination": op2_suffix_array_decontamination,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_fuzzy_license_scan": op4_fuzzy_license_scan,
