@@ -11,7 +11,6 @@ holds one shard and one block at most.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,8 @@ QUERY_ROWS = 4096
 LEAF = 64
 #: Beyond this, sums could leave the whole numbers that a double holds, and 64-bit integers are used.
 _SAFE = float(1 << 53)
+#: Stands for a null id, before all others.
+_NO_ID = -(1 << 63)
 
 
 class Tree:
@@ -87,21 +88,20 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _searched(k: int):
-    def run(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, queries = pa.Table.from_batches(left), pa.Table.from_batches(right)
-        if vectors.num_rows and queries.num_rows:
-            dim = queries.column("dim")[0].as_py()
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        dim = queries.column("dim")[0].as_py() if queries.num_rows else 0
+        if vectors.num_rows and dim:
             x, q = _matrix(vectors.column("v"), dim), _matrix(queries.column("v"), dim)
-            if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(dim, 1) < _SAFE:
+            if float(np.abs(x).max()) * float(np.abs(q).max()) * dim < _SAFE:
                 x, q = x.astype(np.float64), q.astype(np.float64)
-            tree = Tree(x, vectors.column("id").to_numpy())
+            tree = Tree(x, vectors.column("id").fill_null(_NO_ID).to_numpy())
             bounds = tree.bounds(q)
-            out = []
-            for i, (row, own, least) in enumerate(zip(queries.column("row").to_pylist(), queries.column("id").to_pylist(), queries.column("least").to_pylist(), strict=True)):
-                out += [(row, own, s, n) for s, n in tree.search(q[i], own, bounds[i], k, -np.inf if least is None else least)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], names=["row", "query_id", "score", "id"])
+            for i, (row, own, least) in enumerate(zip(*(queries.column(c).to_pylist() for c in ("row", "id", "least")), strict=True)):
+                out += [(row, own, s, None if n == _NO_ID else n) for s, n in tree.search(q[i], own, bounds[i], k, -np.inf if least is None else least)]
+        return pa.table({name: pa.array([r[j] for r in out], pa.int64()) for j, name in enumerate(("row", "query_id", "score", "id"))})
 
-    return lambda left, right: pa.Table.from_batches(list(run(left.to_batches(), right.to_batches())) or [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["row", "query_id", "score", "id"])])
+    return run
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "vector", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
