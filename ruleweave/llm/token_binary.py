@@ -267,7 +267,7 @@ def write_token_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     any length stays within one block. No rows: an empty folder with its schema.
     Other columns are ignored. tokenizer: a tokenizer file (each executor must have it).
     """
-    rows = bare(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = bare(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     out = rows.mapInArrow(_encode(tokenizer, end_id, block_ids), BLOCK_SCHEMA)
     if path is None:
         return written(out, "tokens")
