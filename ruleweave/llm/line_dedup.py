@@ -3,9 +3,9 @@
 Lines are normalised and equal ones taken together. Different lines are compared by
 SimHash: words vote on 64 bits, and lines within DISTANCE bits agree in two of five
 blocks (pigeonhole), so that pairs of blocks are the keys of buckets. A bucket is
-compared in blocks of bounded size: first signatures alone, to find the lines that
-have any partner; then those lines' texts by edit similarity, skipping pairs that
-are already connected. Of each connected group of lines one occurrence is kept.
+compared in blocks of bounded size: first different signatures alone, to find those
+that have any partner; then their lines' texts by edit similarity, skipping pairs
+that are already connected. Of each connected group of lines one occurrence is kept.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BLOCKS = 5
 SIMILARITY = 0.8
 #: Rows of a bucket that are held at once.
 BUCKET_ROWS = 512
+#: The mark of keys that hold lines of one and the same signature.
+EQUAL = 15
 
 #: Lines as words of a text: separated by line feeds alone (an inner space must not separate).
 _AS_LINES = bytes(32 if b == 10 else (1 if b == 32 else b) for b in range(256))
@@ -66,18 +68,19 @@ def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in textbuf.pieces(batch, "text", 2 << 20):
+        for part in textbuf.pieces(batch, "text"):
             lines, words, first = _lines(*textbuf.as_texts(part.column("text")))
             hashes = words.hashes()
             key, owner = _line_hashes(words, hashes, first), lines.owner
             good = np.flatnonzero(key != 0)
             number = np.arange(len(owner)) - lines.first[owner]
-            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(owner[good])), pa.array(number[good].astype(np.int32)), pa.array(key[good]), pa.array(simhash(hashes, first).view(np.int64)[good])], names=["row", "number", "line", "sim"])
+            mine = pa.array(owner[good])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(mine), part.column("text_hash").take(mine), pa.array(number[good].astype(np.int32)), pa.array(key[good]), pa.array(simhash(hashes, first).view(np.int64)[good])], names=["doc_id", "text_hash", "number", "line", "sim"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in textbuf.pieces(batch, "text", 2 << 20):
+        for part in textbuf.pieces(batch, "text"):
             _, words, first = _lines(*textbuf.as_texts(part.column("text")))
             key = _line_hashes(words, words.hashes(), first)
             body = words.data.tobytes()
@@ -92,52 +95,90 @@ def _mask(k: int) -> np.uint64:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each signature under all its keys; a key's lowest four bits say which blocks it is of."""
     for batch in batches:
         sim, n = batch.column("sim").to_numpy().view(np.uint64), len(_KEYS)
-        keys = [textbuf.mix((sim & _mask(k)) + textbuf.mix(np.full(1, k + 1, np.uint64))).view(np.int64) for k in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("line").to_numpy(), n)), pa.array(np.repeat(sim.view(np.int64), n)), pa.array(np.column_stack(keys).ravel()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(sim)))], names=["line", "sim", "key", "k"])
+        keys = [(textbuf.mix((sim & _mask(k)) + np.uint64(k + 1)) << np.uint64(4) | np.uint64(k)).view(np.int64) for k in range(n)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.column_stack(keys).ravel()), pa.array(np.repeat(sim.view(np.int64), n))], names=["key", "sim"])
 
 
-def _near(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """In a block of a bucket: each row, and later rows within DISTANCE that it meets under no earlier key."""
-    sim, k = table.column("sim").to_numpy().view(np.uint64), table.column("k")[0].as_py()
-    for i in range(len(sim) - 1):
-        apart = sim[i + 1 :] ^ sim[i]
-        near = np.flatnonzero(np.bitwise_count(apart) <= DISTANCE)
-        for earlier in range(k):
-            near = near[(apart[near] & _mask(earlier)) != 0]
-        yield i, near + i + 1
+def _runs(table: pa.Table) -> np.ndarray:
+    """The number of each row's block; rows come block after block."""
+    changes = np.zeros(table.num_rows, bool)
+    for c in ("key", "x", "y"):
+        if c in table.column_names:
+            column = table.column(c).to_numpy()
+            changes[1:] |= column[1:] != column[:-1]
+    return np.cumsum(changes)
 
 
-def _near_members(table: pa.Table) -> pa.Table:
-    found = np.zeros(table.num_rows, bool)
-    for i, near in _near(table):
-        found[near] = True
-        found[i] |= bool(len(near))
-    return table.filter(pa.array(found))
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches, cut so that no block is split; at most a batch and a block are held."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+        run = _runs(table)
+        last = int(np.searchsorted(run, run[-1])) if len(run) else 0
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block within DISTANCE that meet under no earlier key; equal signatures only meet under EQUAL."""
+    sim, run, k = table.column("sim").to_numpy().view(np.uint64), _runs(table), table.column("key").to_numpy() & 15
+    first, second, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(sim))
+    for d in range(1, len(sim)):
+        at = at[at + d < len(sim)]
+        at = at[run[at] == run[at + d]]
+        if not len(at):
+            break
+        apart = sim[at] ^ sim[at + d]
+        near = (np.bitwise_count(apart) <= DISTANCE) & ((apart == 0) == (k[at] == EQUAL))
+        i, apart = at[near], apart[near]
+        new = np.ones(len(i), bool)
+        for earlier in range(len(_KEYS)):
+            new &= (k[i] <= earlier) | (k[i] == EQUAL) | ((apart & _mask(earlier)) != 0)
+        first.append(i[new])
+        second.append(i[new] + d)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a partner in their block; all rows of a block of more than BUCKET_ROWS, for a closer look."""
+    for table in _whole_blocks(batches):
+        size = np.bincount(run := _runs(table))
+        found = size[run] > (BUCKET_ROWS if "x" not in table.column_names else len(run))
+        short = np.flatnonzero(~found)
+        for side in _near(table.take(pa.array(short))):
+            found[short[side]] = True
+        yield from table.filter(pa.array(found)).to_batches()
 
 
 def _links(similarity: float):
-    """Verified links of a block; lines that are already connected in it need no more."""
+    """Verified links of blocks; lines that are already connected in what is at hand need no more."""
 
-    def run(table: pa.Table) -> pa.Table:
-        line, norm = table.column("line").to_pylist(), table.column("norm").to_pylist()
-        top, out = list(range(len(line))), []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches):
+            line, norm, out = table.column("line").to_pylist(), table.column("norm").to_pylist(), []
+            top = {n: n for n in line}
 
-        def root(i: int) -> int:
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
+            def root(n: int, top: dict[int, int] = top) -> int:
+                while top[n] != n:
+                    top[n] = top[top[n]]
+                    n = top[n]
+                return n
 
-        for i, near in _near(table):
-            for j in near.tolist():
-                if root(i) != root(j):
+            for i, j in zip(*(side.tolist() for side in _near(table)), strict=True):
+                if root(line[i]) != root(line[j]):
                     most = int((1 - similarity) * max(len(norm[i]), len(norm[j])) + 1e-9)
                     if distance(norm[i], norm[j], most) <= most:
-                        top[root(i)] = root(j)
+                        top[root(line[i])] = root(line[j])
                         out.append((line[i], line[j]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -181,22 +222,30 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
 
 
-def line_groups(docs: DataFrame, *, text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, labels): every line with words by row number of docs (docs has one, `row`); labels of lines linked with others."""
-    texts = docs.select("row", F.col(text_col).alias("text"))
-    seen = kept(texts.mapInArrow(_occurrences, "row long, number int, line long, sim long"), "lines")
-    distinct = seen.groupBy("line").agg(F.first("sim").alias("sim"))
-    keys = kept(distinct.mapInArrow(_keys, "line long, sim long, key long, k int"), "line-keys")
-    full = kept(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "line-buckets")
+def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return bare(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
+
+
+def line_groups(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, labels): every line with words, by document; labels of lines linked with others. texts: doc_id, text, text_hash."""
+    seen = kept(texts.mapInArrow(_occurrences, "doc_id long, text_hash long, number int, line long, sim long"), "lines")
+    lines = kept(seen.groupBy("line").agg(F.first("sim").alias("sim")), "different-lines")
+    sims = kept(lines.groupBy("sim").agg(F.count("*").alias("lines")), "signatures")
+    keys = sims.select("sim").mapInArrow(_keys, "key long, sim long").repartition("key").sortWithinPartitions("key")
+    near = kept(keys.mapInArrow(_near_members, "key long, sim long"), "near-signatures")
+    equal = sims.where("lines > 1").select((F.shiftleft("sim", 4) + EQUAL).alias("key"), "sim")
+    members = kept(near.unionByName(equal).join(lines, "sim"), "members")
+    sizes = kept(members.groupBy("key").agg(F.count("*").alias("members")), "bucket-sizes")
     blocks = F.ceil(F.col("members") / BUCKET_ROWS).cast("int")
-    # a bucket of several blocks: every pair of blocks is a task of its own
-    dealt = keys.join(full, "key").withColumn("own", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "k", "line", "sim", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    near = kept(dealt.groupBy("key", "x", "y").applyInArrow(_near_members, dealt.schema), "near-lines")
+    # a bucket of several blocks: every pair of blocks is compared by itself
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "line", "sim", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    near = kept(together(dealt).mapInArrow(_near_members, dealt.schema), "near-lines")
     needed = kept(near.select("line").distinct(), "needed-lines")
     norms = texts.select("text").mapInArrow(_texts, "line long, norm string").join(small(needed), "line", "left_semi")
     norms = kept(norms.groupBy("line").agg(F.min("norm").alias("norm")), "norms")
-    links = near.join(norms, "line").groupBy("key", "x", "y").applyInArrow(_links(similarity), "a long, b long")
+    links = together(near.join(norms, "line")).mapInArrow(_links(similarity), "a long, b long")
     return seen, components(kept(links, "line-links"))
 
 
@@ -207,15 +256,16 @@ def deduplicated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ASCII, A-Z lower-cased, single-spaced. Lines equal in that form, or within
     DISTANCE bits of each other and at least `similarity` alike (1 - edits / the
     longer one's characters), are linked; of a connected group the occurrence with
-    the smallest doc_id (null last) and line stays. n_lines counts lines that are not empty;
-    lines without words always stay. Null texts stay null; repeated rows lose the
-    lines that the first of them has; other columns are ignored.
+    the smallest doc_id (null last) and line stays. n_lines counts lines that are not
+    empty; lines without words always stay. Null texts stay null; rows repeated in id
+    and text are one document and lose the same lines; other columns are ignored.
     """
-    rows = kept(bare(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id()), "rows")
-    seen, labels = line_groups(rows, similarity=similarity)
-    ids = rows.select("row", "doc_id")
-    seen = seen.join(ids, "row").select("row", "number", "line", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "number").alias("place"))
-    named = kept(seen.join(labels.withColumnRenamed("node", "line"), "line", "left").select("row", "number", "place", F.coalesce("label", "line").alias("label")), "named-lines")
+    texts = _texts_of(docs, id_col, text_col)
+    seen, labels = line_groups(texts, similarity)
+    seen = seen.select("doc_id", "text_hash", "number", "line", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "number").alias("place"))
+    named = kept(seen.join(labels.withColumnRenamed("node", "line"), "line", "left").select("place", F.coalesce("label", "line").alias("label")), "named-lines")
     best = kept(named.groupBy("label").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "best-lines")
-    gone = named.join(best, "label").where(F.col("place") != F.col("best")).groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("gone"))
-    return rows.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")
+    gone = named.join(best, "label").where(F.col("place") != F.col("best")).groupBy("place.doc_id", "place.text_hash").agg(F.sort_array(F.collect_set("place.number")).alias("gone"))
+    gone = kept(gone.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "gone"), "gone-lines")
+    rows = texts.join(gone, texts["doc_id"].eqNullSafe(F.col("its_id")) & (texts["text_hash"] == F.col("its_hash")), "left")
+    return rows.select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")
