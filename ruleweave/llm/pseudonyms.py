@@ -25,6 +25,8 @@ ROUNDS = 10
 #: Characters around a digit or @ that are searched; no value has a longer part without either, but for white space to cut at.
 REACH = 64
 _SIGN = re.compile("[0-9@]+")
+#: Digits, and letters of ASCII and Latin-1 by case.
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "date", "secret")
 #: The first and last day that counts as a date.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
@@ -73,7 +75,7 @@ class Pseudonyms:
         self.key, self.back = key, back
         d = r"(?<![\w.+-])"
         self.forms: list[tuple[str, re.Pattern, Callable[[str], str | None], str]] = [
-            ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), self.email, "@"),
+            ("email", re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), self.email, "@"),
             ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"), self.secret, ""),
             ("iban", re.compile(rf"{d}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w)"), self.iban, ""),
             ("card", re.compile(r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?![\w-])"), self.card, ""),
@@ -87,20 +89,18 @@ class Pseudonyms:
         return permute(x, size, self.key, kind, self.back)
 
     def _alnum(self, value: str, kind: str) -> str:
-        """Each ASCII digit, small and capital letter stays one; the value as a whole is permuted."""
-        kinds = [("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) for c in value if c.isascii() and c.isalnum()]
-        x = size = 0
-        size = 1
-        for c, (base, n) in zip((c for c in value if c.isascii() and c.isalnum()), kinds, strict=True):
-            x, size = x * n + ord(c) - ord(base), size * n
-        shape = "".join(base for base, _ in kinds)
-        x = self._p(x, size, f"{kind}|{shape}")
-        out = []
-        for base, n in reversed(kinds):
-            x, r = divmod(x, n)
-            out.append(chr(ord(base) + r))
-        new = iter(reversed(out))
-        return "".join(next(new) if c.isascii() and c.isalnum() else c for c in value)
+        """Each character of an alphabet stays in it; the value as a whole is permuted, other characters stay."""
+        at = [next((k for k, alphabet in enumerate(_ALPHABETS) if c in alphabet), None) for c in value]
+        x, size = 0, 1
+        for c, k in zip(value, at, strict=True):
+            if k is not None:
+                x, size = x * len(_ALPHABETS[k]) + _ALPHABETS[k].index(c), size * len(_ALPHABETS[k])
+        x = self._p(x, size, f"{kind}|{''.join('-' if k is None else str(k) for k in at)}")
+        out = list(value)
+        for i in reversed([i for i, k in enumerate(at) if k is not None]):
+            x, r = divmod(x, len(_ALPHABETS[at[i]]))
+            out[i] = _ALPHABETS[at[i]][r]
+        return "".join(out)
 
     def email(self, value: str) -> str:
         head, _, top = value.rpartition(".")  # the top-level domain stays
@@ -124,7 +124,10 @@ class Pseudonyms:
     def card(self, value: str) -> str | None:
         plain = re.sub("[ -]", "", value)
         if plain[0] == "0" or _luhn(plain[:-1]) != plain[-1]:
-            return None
+            # numbers side by side: each by itself
+            parts = [self.card(p) if len(p) > 12 and p != value else None for p in re.split("[ -]", value)]
+            new = iter([x or p for x, p in zip(parts, re.split("[ -]", value), strict=True)])
+            return re.sub("[0-9]+", lambda m: next(new), value) if any(parts) else None
         n = len(plain) - 1
         body = str(self._p(int(plain[:-1]) - 10 ** (n - 1), 9 * 10 ** (n - 1), "card") + 10 ** (n - 1))
         return _digits(value, body + _luhn(body))
