@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .shared import bare
+from .shared import bare, in_small_batches
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Benchmark text that is indexed and sent to the executors at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 4 << 20
 _TABLE = 1 << 24
@@ -153,6 +153,7 @@ class Blocks:
 
     def __init__(self, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
         spark = benchmark.sparkSession
+        in_small_batches(spark)
         items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(item_text_col).alias("text")).where("text is not null")
         size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = max(1, -(-size // block_bytes))

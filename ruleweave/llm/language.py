@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .shared import bare
+from .shared import bare, in_small_batches
 
 DIMS = 2048
 GRAMS = 3
@@ -154,6 +154,7 @@ def identify_language(docs: DataFrame, model: Model, *, text_col: str = "text")
     lang_pred: `und` (score 0, rejected) for null texts, texts without a letter, and
     where nothing was learnt. Whole texts count. Other columns stay as they are.
     """
+    in_small_batches(docs.sparkSession)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     text = f"c{docs.columns.index(text_col)}"
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

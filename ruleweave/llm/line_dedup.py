@@ -28,6 +28,8 @@ BLOCKS = 5
 SIMILARITY = 0.8
 #: Rows of a bucket that are held at once.
 BUCKET_ROWS = 512
+#: Sorted rows that are looked at together.
+HELD_ROWS = 20_000
 #: The mark of keys that hold lines of one and the same signature.
 EQUAL = 15
 
@@ -113,18 +115,19 @@ def _runs(table: pa.Table) -> np.ndarray:
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted batches, cut so that no block is split; at most a batch and a block are held."""
-    held = None
+    """Sorted batches, HELD_ROWS at a time and cut so that no block is split; no more than that and a block are held."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        run = _runs(table)
-        last = int(np.searchsorted(run, run[-1])) if len(run) else 0
-        if last:
-            yield table.slice(0, last)
-        held = table.slice(last)
-    if held is not None and held.num_rows:
-        yield held
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD_ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            run = _runs(table)
+            last = int(np.searchsorted(run, run[-1]))
+            if last:
+                yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +177,7 @@ def _links(similarity: float):
 
             for i, j in zip(*(side.tolist() for side in _near(table)), strict=True):
                 if root(line[i]) != root(line[j]):
-                    most = int((1 - similarity) * max(len(norm[i]), len(norm[j])) + 1e-9)
-                    if distance(norm[i], norm[j], most) <= most:
+                    if alike(norm[i], norm[j], similarity):
                         top[root(line[i])] = root(line[j])
                         out.append((line[i], line[j]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
@@ -183,6 +185,24 @@ def _links(similarity: float):
     return run
 
 
+def _word_edits(a: list[str], b: list[str]) -> int:
+    """Edits that turn one line into another word by word, outside the words both begin and end with: a bound from above."""
+    if len(a) == len(b):
+        return sum(max(len(x), len(y)) for x, y in zip(a, b, strict=True) if x != y)
+    short, i, j = min(len(a), len(b)), 0, 0
+    while i < short and a[i] == b[i]:
+        i += 1
+    while j < short - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return max(sum(map(len, x[i : len(x) - j])) + len(x) - j - i for x in (a, b))
+
+
+def alike(a: str, b: str, similarity: float) -> bool:
+    """Whether 1 - edits / the longer one's characters is at least similarity."""
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    return _word_edits(a.split(" "), b.split(" ")) <= most or distance(a, b, most) <= most
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance (insert, delete, replace), by bit vectors over the shorter text; most + 1 if it is more than most."""
     if len(a) > len(b):

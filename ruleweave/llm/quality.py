@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .shared import bare
+from .shared import bare, in_small_batches
 
 #: Labelled rows the model is fitted on at most, about (chosen by hash; all if there are fewer).
 FIT_ROWS = 20_000
@@ -203,6 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
 def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     """The columns of docs as c0, c1, ..., and s, the score."""
+    in_small_batches(docs.sparkSession)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     text = f"c{docs.columns.index(text_col)}"
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

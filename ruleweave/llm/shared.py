@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows of a few numbers each.
 BROADCAST_ROWS = 100_000
+BATCH_ROWS = 2500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,14 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python BATCH_ROWS at a time, unless the caller has set a number: rows here are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's own default
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def bare(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under our own names, so that extra columns can't clash: bare(docs, id="doc_id")."""
+    in_small_batches(df.sparkSession)
     return df.select(*[df[old].alias(new) for new, old in columns.items()])

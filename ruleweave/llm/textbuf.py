@@ -115,7 +115,7 @@ def words(raw: np.ndarray, at: np.ndarray, table: bytes) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, at))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """The batch cut into runs of rows with about `most` bytes of text each (a longer text is a run of its own)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     begin = 0

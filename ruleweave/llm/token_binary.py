@@ -34,6 +34,9 @@ BLOCK_IDS = 1 << 16
 #: Words whose ids a worker remembers before it starts afresh; bounds its memory, not its results.
 REMEMBERED = 1_500_000
 
+#: Words that are encoded together.
+JOINED = 128
+
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids long, doc_ids array<long>, record binary"
 INDEX_SCHEMA = "shard int, doc_id long, first long, n_tokens long, ids_crc32 long"
 
@@ -134,6 +137,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        for word, i in self.tokenizer.get_vocab().items():
+            self.last[i] = word.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
@@ -154,15 +160,32 @@ class WordEncoder:
         return begin, length
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        got = [x for k in range(0, len(texts), 4096) for x in self.whole(texts[k : k + 4096])]
-        length = np.array([len(x) for x in got], np.int64)
+        ids, length = self.each(texts)
         begin = self.pooled + np.cumsum(length) - length
-        self.pool = [np.concatenate((*self.pool, np.array([i for x in got for i in x], np.uint32)))]
+        self.pool = [np.concatenate((*self.pool, ids))]
         self.pooled = len(self.pool[0])
         self.known[1] = _merged(self.known[1], (hashes, begin, length))
         if 4 * len(self.known[1][0]) > len(self.known[0][0]):
             self.known = [_merged(*self.known), tuple(x[:0] for x in self.known[1])]
 
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has. Words of letters alone go to the library in lines of JOINED: each is one word there, and ends with the id that says so."""
+        got: list[list[int]] = [[] for _ in texts]
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        lines = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in x]) for x in lines], add_special_tokens=False), strict=True):
+            ids = found.ids
+            stops = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(stops) != len(line):  # some letter is no letter to the tokenizer
+                rest += line
+                continue
+            for i, a, b in zip(line, [0, *stops], stops, strict=False):
+                got[i] = ids[a:b]
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            got[i] = ids
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 

@@ -225,6 +225,17 @@ def test_edit_distance():
             assert line_dedup.distance(a, b, most) == min(row[-1], most + 1)
 
 
+def test_alike_equals_the_edit_distance():
+    rng = random.Random(7)
+    for _ in range(500):
+        a = [rng.choice(("aa", "ab", "b", "cdef")) for _ in range(rng.randrange(1, 8))]
+        b = [w if rng.random() < 0.8 else rng.choice(("aa", "b", "xyz")) for w in a] + ["end"] * rng.randrange(2)
+        a, b = " ".join(a), " ".join(b)
+        most = int(0.2 * max(len(a), len(b)) + 1e-9)
+        assert line_dedup.alike(a, b, 0.8) == (line_dedup.distance(a, b, most) <= most)
+        assert line_dedup._word_edits(a.split(" "), b.split(" ")) >= line_dedup.distance(a, b, 99)
+
+
 # mixture
 
 
