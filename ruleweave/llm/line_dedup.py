@@ -175,7 +175,10 @@ def _links(similarity: float):
                     n = top[n]
                 return n
 
-            for i, j in zip(*(side.tolist() for side in _near(table)), strict=True):
+            size = np.fromiter(map(len, norm), np.int64, len(norm))
+            first, second = _near(table)
+            able = np.abs(size[first] - size[second]) <= _edits(similarity, np.maximum(size[first], size[second]))
+            for i, j in zip(first[able].tolist(), second[able].tolist(), strict=True):
                 if root(line[i]) != root(line[j]):
                     if alike(norm[i], norm[j], similarity):
                         top[root(line[i])] = root(line[j])
@@ -197,9 +200,14 @@ def _word_edits(a: list[str], b: list[str]) -> int:
     return max(sum(map(len, x[i : len(x) - j])) + len(x) - j - i for x in (a, b))
 
 
+def _edits(similarity: float, longest: np.ndarray) -> np.ndarray:
+    """How many edits lines of so many characters, the longer one's, may be apart."""
+    return ((1 - similarity) * longest + 1e-9).astype(np.int64)
+
+
 def alike(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - edits / the longer one's characters is at least similarity."""
-    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    most = int(_edits(similarity, np.asarray(max(len(a), len(b)))))
     return _word_edits(a.split(" "), b.split(" ")) <= most or distance(a, b, most) <= most
 
 
@@ -214,17 +222,26 @@ def distance(a: str, b: str, most: int) -> int:
         at[c] = at.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = at.get(c, 0)
-        x = eq | down
-        d = ((((x & up) + up) ^ up) | x) & full
-        plus, minus = (down | ~(d | up)) & full, up & d
-        score += bool(plus & last) - bool(minus & last)
-        if score - (len(b) - 1 - j) > most:
+    step = max(64, len(b) // 8)
+    for begin in range(0, len(b), step):
+        for c in b[begin : begin + step]:
+            eq = at.get(c, 0)
+            x = eq | down
+            d = ((((x & up) + up) ^ up) | x) & full
+            plus, minus = (down | ~(d | up)) & full, up & d
+            score += bool(plus & last) - bool(minus & last)
+            plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+            up, down = (minus | ~(d | plus)) & full, plus & d
+        if begin + step < len(b) and _least(up, down, begin + step, len(a), len(b)) > most:
             return most + 1
-        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
-        up, down = (minus | ~(d | plus)) & full, plus & d
-    return score
+    return min(score, most + 1)
+
+
+def _least(up: int, down: int, done: int, short: int, long: int) -> int:
+    """The least edits of any way through the column after `done` characters; up, down: the column's steps."""
+    steps = [np.unpackbits(np.frombuffer(x.to_bytes(-(-short // 8), "little"), np.uint8), count=short, bitorder="little").astype(np.int32) for x in (up, down)]
+    column = done + np.concatenate(([0], np.cumsum(steps[0] - steps[1])))
+    return int((column + np.abs(short - np.arange(short + 1) - (long - done))).min())
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
