@@ -19,6 +19,8 @@ BLANK_SEPARATED = bytes(32 if b == 32 or 9 <= b <= 13 else LOWER[b] for b in ran
 #: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 ALNUM = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
 
+#: Bytes of text that are worked on together: numbers of a position take many times its byte.
+PIECE = 1 << 18
 #: Bytes that are hashed together.
 STRETCH = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -115,7 +117,7 @@ def words(raw: np.ndarray, at: np.ndarray, table: bytes) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, at))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE):
     """The batch cut into runs of rows with about `most` bytes of text each (a longer text is a run of its own)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     begin = 0
