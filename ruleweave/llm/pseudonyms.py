@@ -28,6 +28,9 @@ _SIGN = re.compile("[0-9@]+")
 #: Digits, and letters of ASCII and Latin-1 by case.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "date", "secret")
+#: How cards are written, by digits of their groups, besides in one; looked for before all other groups of 13 to 19 digits.
+_CARD_FORMS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+_CARD_DIGITS = 19
 #: The first and last day that counts as a date.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
@@ -68,6 +71,52 @@ def _luhn(payload: str) -> str:
     return str(-total % 10)
 
 
+def _inside(places: dict[int, int], s: int) -> bool:
+    """Whether a place begins before group s and ends after it."""
+    return any(places.get(i, 0) > s for i in range(s - _CARD_DIGITS, s))
+
+
+def _card_at(groups: list[str], gaps: str, s: int, usable: int, usual: bool, taken: dict[int, int]) -> int:
+    """The end of the card that begins with group s, the longest if there are several; 0: none.
+
+    Of an unusual form it is the whole run, or has spaces only or dashes only and at
+    least three digits before each: a date or a list beside a number is no part of it.
+    """
+    best = total = 0
+    if groups[s][0] == "0":
+        return 0
+    for e in range(s, usable):
+        total += len(groups[e])
+        if total > _CARD_DIGITS or e in taken:
+            break
+        form = tuple(map(len, groups[s : e + 1]))
+        alike = (len(set(gaps[s:e])) < 2 and min(form[:-1], default=3) > 2) or (s == 0 and e + 1 == len(groups))
+        if total > 12 and (len(form) == 1 or form in _CARD_FORMS) == usual and (usual or alike):
+            plain = "".join(groups[s : e + 1])
+            if _luhn(plain[:-1]) == plain[-1]:
+                best = e + 1
+    return best
+
+
+def _card_places(groups: list[str], gaps: str, usable: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Where cards stand, first group: end; those of a usual form first, others in what is left, both from the left."""
+    found: list[dict[int, int]] = []
+    taken: dict[int, int] = {}
+    for usual in (True, False):
+        places, i = {}, 0
+        while i < usable:
+            if i in taken:
+                i = taken[i]
+            elif end := _card_at(groups, gaps, i, usable, usual, taken):
+                places[i] = end
+                i = end
+            else:
+                i += 1
+        found.append(places)
+        taken = places
+    return found[0], found[1]
+
+
 class Pseudonyms:
     """Finds and replaces values; back=True turns pseudonyms into what they stand for."""
 
@@ -78,7 +127,7 @@ class Pseudonyms:
             ("email", re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), self.email, "@"),
             ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"), self.secret, ""),
             ("iban", re.compile(rf"{d}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w)"), self.iban, ""),
-            ("card", re.compile(r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?![\w-])"), self.card, ""),
+            ("card", re.compile(r"(?<![\w.+])\d(?:[ -]?\d){12,}+"), self.card, ""),
             ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), self.ip, "."),
             ("phone", re.compile(r"(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"), self.phone, ""),
             ("ssn", re.compile(rf"{d}\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])"), self.ssn, "-"),
@@ -124,14 +173,44 @@ class Pseudonyms:
     def card(self, value: str) -> str | None:
         plain = re.sub("[ -]", "", value)
         if plain[0] == "0" or _luhn(plain[:-1]) != plain[-1]:
-            # numbers side by side: each by itself
-            parts = [self.card(p) if len(p) > 12 and p != value else None for p in re.split("[ -]", value)]
-            new = iter([x or p for x, p in zip(parts, re.split("[ -]", value), strict=True)])
-            return re.sub("[0-9]+", lambda m: next(new), value) if any(parts) else None
+            return None
         n = len(plain) - 1
         body = str(self._p(int(plain[:-1]) - 10 ** (n - 1), 9 * 10 ** (n - 1), "card") + 10 ** (n - 1))
         return _digits(value, body + _luhn(body))
 
+    def cards(self, run: str, closed: bool) -> list[tuple[int, int, str]]:
+        """(start, end, new) of the cards in a run of digits, spaces and dashes; not closed: its last group goes on as something else.
+
+        A new number that would make the run be read otherwise is permuted again, so
+        that the way back finds the same places.
+        """
+        at = [m.span() for m in re.finditer(r"\d+", run)]
+        groups = [run[a:b] for a, b in at]
+        gaps = re.sub(r"\d", "", run)
+        usable = len(groups) if closed else len(groups) - 1
+        usual, other = _card_places(groups, gaps, usable)
+        order = sorted({**usual, **other}.items(), reverse=self.back)
+        for i, j in order:
+            while True:
+                groups[i:j] = self.card(" ".join(groups[i:j])).split(" ")
+                near = range(max(0, i - _CARD_DIGITS), j)
+                if all(_card_at(groups, gaps, s, usable, True, {}) == usual.get(s, 0) for s in near if not _inside(usual, s)) and (
+                    i in usual or all(_card_at(groups, gaps, s, usable, False, usual) == other.get(s, 0) for s in near if s not in usual and not _inside(usual, s) and not _inside(other, s))
+                ):
+                    break
+        out = []
+        for i, j in sorted(order):
+            a, b = at[i][0], at[j - 1][1]
+            out.append((a, b, _digits(run[a:b], "".join(groups[i:j]))))
+        return out
+
+    def changes(self, kind: str, change: Callable[[str], str | None], m: re.Match) -> list[tuple[int, int, str]]:
+        """(start, end, new) of what changes in a match, counted from the match's start."""
+        if kind == "card":
+            return self.cards(m.group(), not re.match(r"[\w-]", m.string[m.end() : m.end() + 1]))
+        new = change(m.group())
+        return [] if new is None else [(0, len(m.group()), new)]
+
     def ip(self, value: str) -> str | None:
         try:
             x = int(ipaddress.IPv4Address(value))
@@ -206,9 +285,7 @@ class Pseudonyms:
         counts = [0] * len(KINDS)
         held: list[str] = []
 
-        def put(kind: str, new: str | None, old: str) -> str:
-            if new is None:
-                return old
+        def put(kind: str, new: str) -> str:
             counts[KINDS.index(kind)] += 1
             held.append(new)
             return f"\x00{chr(0xE000 + (len(held) - 1) // 0x1000)}{chr(0xE000 + (len(held) - 1) % 0x1000)}\x00"  # no form matches it
@@ -217,7 +294,15 @@ class Pseudonyms:
             return self._by_spans(value)
         for kind, pattern, change, needs in self.forms:
             if needs in value:
-                value = pattern.sub(lambda m, k=kind, f=change: put(k, f(m.group()), m.group()), value)
+
+                def swap(m: re.Match, kind: str = kind, change: Callable[[str], str | None] = change) -> str:
+                    old, out, done = m.group(), [], 0
+                    for a, b, new in self.changes(kind, change, m):
+                        out += [old[done:a], put(kind, new)]
+                        done = b
+                    return "".join([*out, old[done:]])
+
+                value = pattern.sub(swap, value)
         if held:
             value = re.sub("\x00(.)(.)\x00", lambda m: held[(ord(m[1]) - 0xE000) * 0x1000 + ord(m[2]) - 0xE000], value)
         return value, counts
@@ -226,9 +311,11 @@ class Pseudonyms:
         counts, spans = [0] * len(KINDS), []
         for kind, pattern, change, _ in self.forms:
             for m in pattern.finditer(value):
-                if not any(m.start() < b and a < m.end() for a, b, _ in spans) and (new := change(m.group())) is not None:
-                    spans.append((m.start(), m.end(), new))
-                    counts[KINDS.index(kind)] += 1
+                for a, b, new in self.changes(kind, change, m):
+                    a, b = a + m.start(), b + m.start()
+                    if not any(a < y and x < b for x, y, _ in spans):
+                        spans.append((a, b, new))
+                        counts[KINDS.index(kind)] += 1
         for a, b, new in sorted(spans, reverse=True):
             value = value[:a] + new + value[b:]
         return value, counts
@@ -254,7 +341,9 @@ def pseudonymise(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_co
     Found are e-mail addresses, runs of 32 to 128 hexadecimal digits, IBANs (check
     digits), card numbers (Luhn), IPv4 addresses, phone numbers, US social security
     numbers and dates of 1900 to 2099; what fails its check is left alone, and so is
-    every other character. Null texts stay null, and empty ones empty; repeated values
+    every other character. A card may stand among other numbers, such as its expiry;
+    usual forms go before others, and of several readings the first from the left.
+    Null texts stay null, and empty ones empty; repeated values
     and rows change alike; long texts are read whole; other columns are ignored.
     back: undoes the replacement by the same key. key: secret bytes of the caller.
     """

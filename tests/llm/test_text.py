@@ -132,6 +132,35 @@ def test_values_keep_their_form():
         assert work.text(clean) == (clean, [0] * len(pseudonyms.KINDS))
 
 
+def test_cards_among_other_numbers():
+    import random
+
+    work, back, rng = pseudonyms.Pseudonyms(b"key"), pseudonyms.Pseudonyms(b"key", back=True), random.Random(4)
+    card = work.text("4111 1111 1111 1111")[0]
+    for text in ("{} 12/25", "{} 123", "{} 2 items", "7 {}", "12345 {}", "exp 12 25 {} 123 4", "{} 1999-12-31", "\x00 {} 12/25"):
+        new, counts = work.text(text.format("4111 1111 1111 1111"))
+        assert counts[pseudonyms.KINDS.index("card")] == 1 and card in new and back.text(new)[0] == text.format("4111 1111 1111 1111")
+    assert "4111" not in work.text("4111-1111-1111-1111 123")[0]
+    assert work.text("4111 1111 1111 1111 1999-12-31")[1][pseudonyms.KINDS.index("date")] == 1
+    for _ in range(1500):  # whatever is read as a card, the way back reads the same
+        text = rng.choice(("", "4111 1111 1111 1111 ", "378282246310005-")) + "".join("".join(rng.choices("0123456789", k=rng.choice((1, 2, 3, 4, 4, 4, 6, 13, 16)))) + rng.choice("  -") for _ in range(rng.randint(1, 12))) + "x"
+        new, counts = work.text(text)
+        kinds = {k for k, n in zip(pseudonyms.KINDS, counts) if n}
+        if kinds <= {"card"}:
+            groups = [m.group() for m in re.finditer(r"\d+", text)]
+            assert len(new) == len(text) and len(re.findall(r"\d+", new)) == len(groups)
+        run = text[:-2]
+        if groups_of := re.findall(r"\d+", run):
+            spans = work.cards(run, True)
+            changed = run
+            for a, b, v in reversed(spans):
+                changed = changed[:a] + v + changed[b:]
+            again = back.cards(changed, True)
+            for a, b, v in reversed(again):
+                changed = changed[:a] + v + changed[b:]
+            assert changed == run and [s[:2] for s in spans] == [s[:2] for s in again] and groups_of
+
+
 def test_pseudonyms_of_documents(odd, empty, docs, texts):
     rows = pseudonyms.pseudonymise(odd, key=b"k").collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in rows))) == sorted(map(repr, ((r.doc_id, r.text) for r in odd.collect()))) and not any(r.n_replaced for r in rows)
