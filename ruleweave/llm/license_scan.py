@@ -2,13 +2,14 @@
 
 A notice with k allowed edits is cut into k + 1 pieces; text within k edits of it
 holds one of the pieces unchanged (pigeonhole). Exact search for the pieces gives
-candidate stretches, and the regex library's bounded-error matching verifies each
-and reports span and edits. Places where a notice stands word for word are found
-by the same search: all of its pieces are there.
+the words a match can begin with, and each candidate is verified by itself by its
+edit distance. Places where a notice stands word for word are found by the same
+search: all of its pieces are there.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbuf
+from .line_dedup import distance
 from .shared import bare
 
 
@@ -56,48 +58,59 @@ SCHEMA = f"doc_id long, n_words long, spans array<{SPAN}>"
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...]):
         import ahocorasick
-        import regex
 
         self.notices = notices
         self.seeds = ahocorasick.Automaton()
         for k, notice in enumerate(notices):
+            offset = 0
             for piece in notice.pieces:
-                self.seeds.add_word(piece, (*self.seeds.get(piece, ()), (k, len(piece))))
+                self.seeds.add_word(piece, (*self.seeds.get(piece, ()), (k, len(piece), offset)))
+                offset += len(piece)
         self.seeds.make_automaton()
-        self.patterns = [regex.compile(rf"(?b)\b(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={n.edits}}}\b") for n in notices]
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, first, end, edits) in a text of single-spaced words, each notice's matches apart from one another."""
-        near: dict[int, list[list[int]]] = {}
+        """(notice, first, end, edits) in a text of single-spaced words, each notice's matches apart from one another.
+
+        A match holds a piece unchanged, no further from its place than the edits, so
+        the words that begin about where the notice would are tried one by one.
+        """
+        starts: dict[int, set[int]] = {}
         for end, hits in self.seeds.iter(text):
-            for k, size in hits:
-                reach = len(self.notices[k].phrase) + 2 * self.notices[k].edits + 1
-                a, b = max(0, end + 1 - size - reach), min(len(text), end + 1 + reach)
-                runs = near.setdefault(k, [])
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(b, runs[-1][1])
-                else:
-                    runs.append([a, b])
+            for k, size, offset in hits:
+                first, edits = end + 1 - size - offset, self.notices[k].edits
+                a, b = max(0, first - edits), first + edits
+                at = 0 if a == 0 else text.find(" ", a - 1, b) + 1
+                while at or a == 0:
+                    if at > b:
+                        break
+                    starts.setdefault(k, set()).add(at)
+                    a, at = -1, text.find(" ", at, b) + 1
         found = []
-        for k, runs in near.items():
+        for k, places in starts.items():
             notice = self.notices[k]
-            for a, b in runs:
-                exact = text.find(notice.phrase, a, b)
-                spots = []
-                while exact >= 0:  # word for word: every place, one word on each time
-                    end = exact + len(notice.phrase)
-                    if (exact == 0 or text[exact - 1] == " ") and (end == len(text) or text[end] == " "):
-                        spots.append((k, exact, end, 0))
-                    exact = text.find(notice.phrase, exact + 1, b)
-                found += spots
-                if notice.edits:
-                    a0, b0 = (a if a == 0 else text.find(" ", a, b) + 1 or b), (b if b == len(text) else max(text.rfind(" ", a, b), a))
-                    for m in self.patterns[k].finditer(text, a0, b0):
-                        edits = sum(m.fuzzy_counts)
-                        s, e = m.start() + (m.group()[:1] == " "), m.end() - (m.group()[-1:] == " ")
-                        whole = (s == 0 or text[s - 1] == " ") and (e == len(text) or text[e] == " ")
-                        if edits and whole and set(notice.core) <= set(text[s:e].split(" ")) and not any(x < e and s < y for _, x, y, _ in spots):
-                            found.append((k, s, e, edits))
+            size, core = len(notice.phrase), set(notice.core)
+            exact, near = [], []
+            for s in sorted(places):
+                e = s + size - notice.edits - 1
+                while e < min(len(text), s + size + notice.edits):
+                    e = text.find(" ", e + 1, s + size + notice.edits + 1)
+                    e = e if e >= 0 else len(text)
+                    if e > s + size + notice.edits:
+                        break
+                    edits = distance(text[s:e], notice.phrase, notice.edits)
+                    if not edits:
+                        exact.append((k, s, e, 0))  # word for word: every place
+                    elif edits <= notice.edits and core <= set(text[s:e].split(" ")):
+                        near.append((edits, s, e))
+            found += exact
+            taken = [(s, e) for _, s, e, _ in exact]
+            ends = [e for _, e in taken]
+            for edits, s, e in sorted(near):  # the best of those that overlap
+                at = bisect.bisect_right(ends, s)
+                if at == len(taken) or taken[at][0] >= e:
+                    taken.insert(at, (s, e))
+                    ends.insert(at, e)
+                    found.append((k, s, e, edits))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
     def batch(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -133,7 +146,8 @@ def license_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     characters beyond ASCII, single-spaced; characters and words of a span are counted
     in that form, from 0. exact: word for word; such places are all reported, also
     where they overlap. Else the span is whole words within the notice's edits that
-    hold its core words. Null and empty texts have no words and no spans; long texts
+    hold its core words; of such spans of one notice that overlap, that with the fewest
+    edits (then the first) is reported. Null and empty texts have no words and no spans; long texts
     are searched whole; repeated rows each count; other columns are ignored.
     """
 

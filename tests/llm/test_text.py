@@ -106,6 +106,48 @@ def test_fuzzy_notices_equal_a_search_of_the_whole_text():
             assert bool(found) == bool(whole and core)
 
 
+def test_notices_close_together_equal_all_word_spans():
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def plain(notice, text):
+        at = [m.span() for m in re.finditer("[^ ]+", text)]
+        spans = [(a, b) for i, (a, _) in enumerate(at) for _, b in at[i:] if abs(b - a - len(notice.phrase)) <= notice.edits]
+        good = sorted((n, a, b) for a, b in spans if (n := edits(text[a:b], notice.phrase)) <= notice.edits and (not n or set(notice.core) <= set(text[a:b].split(" "))))
+        out = [g for g in good if not g[0]]
+        for n, a, b in good[len(out) :]:
+            if all(b <= x or y <= a for _, x, y in out):
+                out.append((n, a, b))
+        return sorted((a, b, n) for n, a, b in out)
+
+    rng, scanner = random.Random(5), license_scan.Scanner(license_scan.NOTICES)
+    texts = ["gnu genral publc license or the gnu general public license", "apache licence verson 2 apache license version 1", "all rights resrvd all right reserved"]
+    labels = [[(scanner.notices[s[0]].label, s[3]) for s in scanner.spans(t)] for t in texts]
+    assert labels == [[("gpl", 2), ("gpl", 0)], [("apache-2", 2)], [("proprietary", 2)]]
+    for _ in range(60):
+        some = rng.choices(license_scan.NOTICES, k=2)
+        parts = []
+        for _ in range(5):
+            chars = list(rng.choice(some).phrase)
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(chars))
+                chars[k : k + 1] = rng.choice(("", "x", chars[k] + "y", " "))
+            parts += ["".join(chars)] + rng.choices(("license", "under t", "or"), k=rng.randint(0, 2))
+        text = " ".join(" ".join(parts).split())
+        found = scanner.spans(text)
+        for k, notice in enumerate(scanner.notices):
+            if notice in some:
+                assert [s[1:] for s in found if s[0] == k] == plain(notice, text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(2, 1 << 80), st.data())
 def test_permutation_turns_back(size, data):
