@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .shared import bare, in_small_batches
+from .shared import bare, in_small_batches, kept
 
 DIMS = 2048
 GRAMS = 3
 CLUSTERS = 4
-#: Rows the centroids are learnt from at most, about, over all languages (chosen by hash; all if there are fewer).
+#: Different texts the centroids are learnt from at most, over all languages (chosen by hash; all if there are fewer).
 FIT_ROWS = 4000
 #: Share of the rows learnt from that lie further from their centroid than its reach.
 OUTSIDE = 0.01
+#: Hashes are taken modulo this to find the smallest.
+_PLACES = 1 << 40
 #: Rows that are held as dense vectors at once.
 STEP = 1024
 
@@ -101,7 +103,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
 
 
 def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS, outside: float = OUTSIDE, dims: int = DIMS) -> Model:
-    """Learns from rows with a language and a text: document frequencies from all of them, centroids from about fit_rows."""
+    """Learns from rows with a language and a text: document frequencies from all of them, centroids from fit_rows different texts at most, each once."""
     rows = bare(docs, text=text_col, lang=lang_col).where("lang is not null and text is not null")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,21 +121,37 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     for slot, n in rows.select("text").mapInArrow(seen, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # dims + 1 rows
         frequency[slot] = n
     idf = (np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1).astype(np.float32)
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows).collect()}
+    # the different texts of a language with the smallest hashes, however often each stands there
+    rows = rows.withColumn("hash", F.xxhash64("text", "lang"))
+    place = F.pmod("hash", F.lit(_PLACES))
+    different = kept(rows.groupBy("lang", "hash").agg(F.count("*").alias("n")).drop("n"), "different-texts")
+    sizes = different.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).orderBy(F.desc("n"), "lang").limit(fit_rows).collect()
     each = max(1, fit_rows // max(1, len(sizes)))
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, each / v))])[F.col("lang")] if sizes else F.lit(0.0)
-    sample = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
+    # hashes are evenly spread: up to `most`, twice as many as are taken are expected, and the least one is always there
+    bounds = [(r.lang, max(r.least, min(_PLACES, (2 * each + 64) * _PLACES // r.n))) for r in sizes]
+    most = docs.sparkSession.createDataFrame(bounds, "lang string, most long")
+    first: dict[str, list[tuple[int, int]]] = {}
+    for lang, at, h in different.join(F.broadcast(most), "lang").where(place <= F.col("most")).select("lang", place, "hash").collect():  # about 2 fit_rows
+        first.setdefault(lang, []).append((at, h))
+    chosen = [(lang, h) for lang, found in first.items() for _, h in sorted(found)[:each]]
+    sample = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, hash long")), ["lang", "hash"], "left_semi").select("text", "lang", "hash")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()  # no more than are chosen
         for batch in batches:
-            for part in textbuf.pieces(batch, "text"):
+            new = []
+            for i, h in enumerate(batch.column("hash").to_pylist()):
+                if h not in known:
+                    known.add(h)
+                    new.append(i)
+            for part in textbuf.pieces(batch.take(pa.array(new, pa.int64())), "text"):
                 raw, at = textbuf.as_texts(part.column("text"))
                 for i in range(0, part.num_rows, STEP):
                     own = at[i : i + STEP + 1]
                     counts = gram_counts(raw[own[0] : own[-1]], own - own[0], dims)
-                    yield pa.RecordBatch.from_arrays([part.column("lang").slice(i, STEP), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in counts])], names=["lang", "counts"])
+                    yield pa.RecordBatch.from_arrays([part.column("lang").slice(i, STEP), part.column("hash").slice(i, STEP), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in counts])], names=["lang", "hash", "counts"])
 
-    got = sample.mapInArrow(counted, "lang string, counts binary").toArrow()
+    got = sample.mapInArrow(counted, "lang string, hash long, counts binary").groupBy("lang", "hash").agg(F.min("counts").alias("counts")).toArrow()  # fit_rows at most
     langs = np.array(got.column("lang").to_pylist(), object)
     bodies = got.column("counts").to_pylist()
     model = Model(sorted(set(langs)), idf, np.zeros((0, dims), np.float32), np.zeros(0, np.int64), np.zeros(0))

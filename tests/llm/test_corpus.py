@@ -150,6 +150,16 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_languages_of_few_different_texts(spark, monkeypatch):
+    sizes, vectors = [], language.Model.vectors
+    monkeypatch.setattr(language.Model, "vectors", lambda self, counts: sizes.append(len(counts)) or vectors(self, counts))
+    for seed in range(3):
+        rows = [(f"ein satz nummer {seed} {k % 4} über dies", "de") for k in range(3000)] + [(f"a line of number {seed} {k} about that", "en") for k in range(300)]
+        model = language.fit_languages(spark.createDataFrame(rows, "text string, lang string").repartition(3), fit_rows=20)
+        assert model.languages == ["de", "en"] and sizes == [4, 10]
+        sizes.clear()
+
+
 # lines
 
 
