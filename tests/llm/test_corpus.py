@@ -160,6 +160,15 @@ def test_languages_of_few_different_texts(spark, monkeypatch):
         sizes.clear()
 
 
+def test_signatures_hardly_ever_drop_a_pair_at_the_threshold():
+    from math import comb
+
+    n = near_dedup.BINS
+    low = near_dedup._estimate(np.arange(n + 1))
+    for s in (0.85, 0.8):
+        assert sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(n + 1) if low[k] < s - near_dedup.SLACK) < 5e-7
+
+
 # lines
 
 
