@@ -11,7 +11,7 @@ from .shared import kept
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, label): one row per linked node; label is the least node of some kind, the same in a component.
 
-    Nodes are numbers in random order, as hashes are. In each round every node moves
+    Nodes are of any type with an order, random as that of hashes. In each round every node moves
     to its least neighbour, links are rewritten between the new names, and those
     within one name go; in random order the longest path shrinks to a share of its
     length, so rounds grow as the logarithm of the links. Each round is a table in

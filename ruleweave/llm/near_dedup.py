@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textbuf
 from .components import components
 from .shared import bare, kept, small
-from .shingles import fingerprints, one_permutation, shingle_sets
+from .shingles import binaries, fingerprints, one_permutation, shingle_sets
 
 BINS = 128
 #: Rows of a band, and bands: at similarity 0.85 a pair shares no bucket with a chance below 1e-6.
@@ -33,7 +33,7 @@ SCREEN_ROWS, CONFIRM_ROWS = 1024, 512
 #: How far below the threshold a signature's estimate may lie: a pair at 0.85 lies lower with a chance of 1.4e-8, at 0.80 of 2.1e-7.
 SLACK = 0.2
 
-SIGNED = "doc_id long, text_hash long, n long, fp1 long, fp2 long, bands array<long>, sig binary"
+SIGNED = "doc_id long, text_hash long, n long, node binary, bands array<long>, sig binary"
 
 
 def _sets(part: pa.RecordBatch, table: bytes, words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -50,14 +50,14 @@ def _signatures(table: bytes, words: int, rows: int):
         for batch in batches:
             for part in textbuf.pieces(batch, "text"):
                 for rows_, shingles, begin in _sets(part, table, words):
-                    sig, fp = one_permutation(shingles, begin, BINS), fingerprints(shingles, begin)
+                    sig, node = one_permutation(shingles, begin, BINS), binaries(fingerprints(shingles, begin))
                     keys = np.zeros((len(sig), bands), np.uint64)
                     for j in range(rows):
-                        keys = textbuf.mix(keys + sig[:, j : bands * rows : rows].astype(np.uint64) + np.uint64(j))
+                        keys = textbuf.mix(keys + sig[:, j : bands * rows : rows] + np.uint64(j))
                     keys = textbuf.mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                    small_sig = (textbuf.mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+                    small_sig = (textbuf.mix(sig) & np.uint64(255)).astype(np.uint8)
                     offsets = pa.array((np.arange(len(sig) + 1) * bands).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([rows_.column("doc_id"), rows_.column("text_hash"), pa.array(np.diff(begin)), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([s.tobytes() for s in small_sig], pa.binary())], names=["doc_id", "text_hash", "n", "fp1", "fp2", "bands", "sig"])
+                    yield pa.RecordBatch.from_arrays([rows_.column("doc_id"), rows_.column("text_hash"), pa.array(np.diff(begin)), node, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), binaries(small_sig)], names=["doc_id", "text_hash", "n", "node", "bands", "sig"])
 
     return run
 
@@ -72,9 +72,8 @@ def _all_sets(table: bytes, words: int):
         for batch in batches:
             for part in textbuf.pieces(batch, "text"):
                 for _, shingles, begin in _sets(part, table, words):
-                    fp = fingerprints(shingles, begin)
-                    body, at = shingles.astype("<i8").tobytes(), (begin * 8).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0]), pa.array([body[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["node", "shingles"])
+                    body, at = shingles.tobytes(), (begin * 8).tolist()
+                    yield pa.RecordBatch.from_arrays([binaries(fingerprints(shingles, begin)), pa.array([body[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -89,7 +88,7 @@ def _confirmed(threshold: tuple[int, int]):
             a, b = batch.column("left"), batch.column("right")
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), "<i8"), np.frombuffer(b[i].as_buffer(), "<i8")
+                x, y = np.frombuffer(a[i].as_buffer(), "<u8"), np.frombuffer(b[i].as_buffer(), "<u8")
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 good[i] = _linked(np.count_nonzero(y[at] == x), len(x), len(y), threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
@@ -97,6 +96,11 @@ def _confirmed(threshold: tuple[int, int]):
     return run
 
 
+def _numbered(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where the column's values are."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def _matrix(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
@@ -104,7 +108,7 @@ def _matrix(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
 def _block_pairs(table: pa.Table, threshold: tuple[int, int], rows: int) -> Iterator[tuple[int, np.ndarray]]:
     """In a block of a bucket: each outside member's row and the rows it may be linked with and meets in no earlier band."""
     side = table.column("outside").to_numpy()
-    comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
+    comp, n = _numbered(table.column("comp")), table.column("n").to_numpy()
     sig = _matrix(table.column("sig"), "u1", BINS)
     bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sig), -1)
     here = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
@@ -134,9 +138,9 @@ def _block_links(threshold: tuple[int, int], rows: int):
     """Links of a block's outside members, one to each group."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(s, "<i8") for s in table.column("shingles").to_pylist()]
+        sets = [np.frombuffer(s, "<u8") for s in table.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in sets])
-        comp, node = table.column("comp").to_numpy(), table.column("node").to_numpy()
+        comp, node = _numbered(table.column("comp")), table.column("node").to_pylist()
         out = []
         for i, able in _block_pairs(table, threshold, rows):
             for part in np.array_split(able, -(-int(sizes[able].sum()) // (1 << 20)) or 1) if len(able) else ():
@@ -146,7 +150,7 @@ def _block_links(threshold: tuple[int, int], rows: int):
                 shared_ = np.add.reduceat((sets[i][at] == flat).astype(np.int64), begin)
                 good = part[_linked(shared_, sizes[i], sizes[part], threshold)]
                 out += [(node[i], node[j]) for j in good[np.unique(comp[good], return_index=True)[1]]]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return run
 
@@ -165,7 +169,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(signed, classes): every row with its set's fingerprint; every class with its component (a label) where it has links."""
     texts = bare(docs, doc_id=id_col, text=text_col)
     signed = kept(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures(table, words, band_rows), SIGNED), "signed")
-    classes = kept(signed.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumn("node", F.col("fp1")), "classes")
+    classes = kept(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     member = classes.select("node", F.explode("bands").alias("key"))
     full = kept(member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     member = kept(member.join(full, "key"), "members")
@@ -179,18 +183,18 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"), F.col("doc_id").alias(f"id_{name}"))
 
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(threshold[1] * F.least("n_a", "n_b") >= threshold[0] * F.greatest("n_a", "n_b"))
-    pairs = kept(pairs.mapInArrow(_likely(threshold), "a long, b long, id_a long, id_b long"), "pairs")
+    pairs = kept(pairs.mapInArrow(_likely(threshold), "a binary, b binary, id_a long, id_b long"), "pairs")
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """node, shingles of the classes in needed (node, doc_id), from the documents' whole texts."""
         ids = small(needed.select(F.col("doc_id").alias("needed")).distinct())
         some = texts.join(ids, texts["doc_id"].eqNullSafe(F.col("needed")), "left_semi")
-        rows = some.mapInArrow(_all_sets(table, words), "node long, shingles binary")
+        rows = some.mapInArrow(_all_sets(table, words), "node binary, shingles binary")
         return kept(rows.join(needed.select("node").distinct(), "node", "left_semi"), "sets")
 
     sets = sets_of(pairs.select(F.col("a").alias("node"), F.col("id_a").alias("doc_id")).union(pairs.select("b", "id_b")).distinct())
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    links = kept(both.mapInArrow(_confirmed(threshold), "a long, b long"), "confirmed")
+    links = kept(both.mapInArrow(_confirmed(threshold), "a binary, b binary"), "confirmed")
     labels = components(links)
 
     # what the stars leave: buckets with members outside the centre's group
@@ -200,15 +204,15 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     open_ = kept(grouped.groupBy("key").agg(F.sum(F.col("is_outside").cast("long")).alias("n_outside"), F.count("*").alias("n_all")).where("n_outside > 0"), "open")
     info = classes.select("node", "n", "bands", "sig", "doc_id")
     inside = kept(grouped.join(open_, "key").join(info, "node"), "inside")
-    screened = _dealt(inside.drop("doc_id"), SCREEN_ROWS).groupBy("key", "block_a", "block_b").applyInArrow(_screened(threshold, band_rows), "key long, node long")
+    screened = _dealt(inside.drop("doc_id"), SCREEN_ROWS).groupBy("key", "block_a", "block_b").applyInArrow(_screened(threshold, band_rows), "key long, node binary")
     left = kept(inside.join(screened.distinct(), ["key", "node"], "left_semi"), "left")
     sizes = kept(left.groupBy("key").agg(F.sum(F.col("is_outside").cast("long")).alias("n_outside"), F.count("*").alias("n_all")), "left-sizes")
     again = sets_of(left.select("node", "doc_id").distinct())
     rest = left.drop("n_outside", "n_all", "doc_id").join(sizes, "key").join(again, "node")
-    more = kept(_dealt(rest, CONFIRM_ROWS).groupBy("key", "block_a", "block_b").applyInArrow(_block_links(threshold, band_rows), "a long, b long"), "more")
+    more = kept(_dealt(rest, CONFIRM_ROWS).groupBy("key", "block_a", "block_b").applyInArrow(_block_links(threshold, band_rows), "a binary, b binary"), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
-    return signed, classes.select("node", "fp1", "fp2", "doc_id").join(labels, "node", "left")
+    return signed, classes.select("node", "doc_id").join(labels, "node", "left")
 
 
 def _likely(threshold: tuple[int, int]):
@@ -239,9 +243,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     signed, classes = near_classes(docs, **options)
     named = kept(classes.withColumn("label", F.coalesce("label", "node")), "named")
     first = kept(named.groupBy("label").agg(F.min("doc_id").alias("component")), "first")
-    found = kept(named.join(first, "label").select("fp1", "fp2", "component"), "found")
+    found = kept(named.join(first, "label").select("node", "component"), "found")
     own = F.when(signed["n"] > 0, F.col("component")).otherwise(F.col("doc_id"))
-    rows = signed.select("doc_id", "n", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
+    rows = signed.select("doc_id", "n", "node").join(found, "node", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
 
 
@@ -251,8 +255,8 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Of repeated rows one stays; rows without shingles all stay. See near_duplicates.
     """
     signed, classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
-    labels = kept(classes.select("fp1", "fp2", F.coalesce("label", "node").alias("label")), "class-labels")
-    rows = kept(signed.where("n > 0").join(labels, ["fp1", "fp2"]).select("doc_id", "text_hash", "label"), "row-labels")
+    labels = kept(classes.select("node", F.coalesce("label", "node").alias("label")), "class-labels")
+    rows = kept(signed.where("n > 0").join(labels, "node").select("doc_id", "text_hash", "label"), "row-labels")
     best = kept(rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")), "best")
     of_best = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("text_hash") == F.col("best.text_hash"))
     gone = kept(rows.join(best, "label").where(~of_best).select("doc_id", "text_hash").distinct(), "gone")

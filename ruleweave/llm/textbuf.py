@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: What lower-casing A-Z does to a byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -21,10 +22,10 @@ ALNUM = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in
 
 #: Bytes of text that are worked on together: numbers of a position take many times its byte.
 PIECE = 1 << 18
-#: Bytes that are hashed together.
-STRETCH = 1 << 18
+#: Words of more bytes than this are hashed one by one.
+LONG = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD1342543DE82EF95)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,21 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.cumprod(out, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
-
-
 def as_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, end to end, and each text's first and last offset (null: empty)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -82,21 +68,26 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same in every batch; works through STRETCH bytes at a time."""
-        out = np.empty(len(self.starts), np.uint64)
-        begin = 0
-        while begin < len(out):
-            base = int(self.starts[begin])
-            end = max(begin + 1, int(np.searchsorted(self.starts, base + STRETCH)))
-            data = self.data[base : self.ends[end - 1]]
-            up, down = _powers(len(data) + 1)
-            total = np.empty(len(data) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:], dtype=np.uint64)
-            first = self.starts[begin:end] - base
-            out[begin:end] = mix((total[self.ends[begin:end] - base] - total[first]) * down[first])
-            begin = end
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, the same in every batch; other seeds give independent ones.
+
+        Eight bytes at a time are taken up and mixed, so that words that differ in one
+        of these steps differ in the end but for chance, whatever their bytes are.
+        """
+        sizes = self.ends - self.starts
+        out = mix(sizes.astype(np.uint64) + np.uint64(seed) * _STEP)
+        padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        short = sizes <= LONG
+        at = slice(None) if short.all() else np.flatnonzero(short)
+        first, left = self.starts[at], sizes[at]
+        while len(first):
+            out[at] = mix(out[at] + (lanes[first] & _MASKS[np.minimum(left, 8)]) * _STEP)
+            more = np.flatnonzero(left > 8)
+            at = more if isinstance(at, slice) else at[more]
+            first, left = first[more] + 8, left[more] - 8
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(memoryview(self.data[self.starts[i] : self.ends[i]]), seed)
         return out
 
 
