@@ -115,16 +115,7 @@ class Scanner:
 
     def batch(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         words = textbuf.words(*textbuf.as_texts(texts), textbuf.ALNUM)
-        # single-spaced words of each text: word bytes, and one space after each word
-        sizes = words.ends - words.starts
-        at = np.concatenate(([0], np.cumsum(sizes + 1)))
-        flat = np.full(int(at[-1]), 32, np.uint8)
-        inside = np.zeros(len(words.data) + 1, np.int8)
-        inside[words.starts] += 1
-        inside[words.ends] -= 1
-        put = np.ones(len(flat), bool)
-        put[at[1:] - 1] = False
-        flat[put] = words.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        flat, at = textbuf.spaced(words)
         body = flat.tobytes()
         kinds = [("label", pa.string()), ("first_char", pa.int32()), ("last_char", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("edits", pa.int32()), ("exact", pa.bool_())]
         rows: list[tuple] = []

@@ -1,11 +1,11 @@
 """Near-equal lines across documents.
 
 Lines are normalised and equal ones taken together. Different lines are compared by
-SimHash: words vote on 64 bits, and lines within DISTANCE bits agree in two of five
-blocks (pigeonhole), so that pairs of blocks are the keys of buckets. A bucket is
-compared in blocks of bounded size: first different signatures alone, to find those
-that have any partner; then their lines' texts by edit similarity, skipping pairs
-that are already connected. Of each connected group of lines one occurrence is kept.
+SimHash in BLOCKS blocks: a word votes, once a line, on the bits of the one block that
+its hash names, so that a changed word leaves all blocks but two as they are. Pairs of
+equal blocks are the keys of buckets (pigeonhole: with up to BLOCKS - 2 blocks changed,
+two are still equal). Lines of a bucket are compared by edit similarity, but for those
+that are connected already; of each connected group of lines one occurrence is kept.
 """
 
 from __future__ import annotations
@@ -15,29 +15,32 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
 from .components import components
-from .shared import bare, kept, small
+from .shared import bare, dropped, kept, matching, small
+from .shingles import binaries
 
-#: Bits in which two signatures may differ.
-DISTANCE = 3
+#: Blocks of a signature, of 16 bits each.
 BLOCKS = 5
+#: Different words that a pair of blocks must stand for to be a key.
+KEY_WORDS = 2
 SIMILARITY = 0.8
-#: Rows of a bucket that are held at once.
-BUCKET_ROWS = 512
-#: Sorted rows that are looked at together.
-HELD_ROWS = 20_000
-#: The mark of keys that hold lines of one and the same signature.
-EQUAL = 15
+#: Rows and bytes of a bucket that are held at once; a larger bucket is dealt out by pairs of such parts.
+BUCKET_ROWS, BUCKET_BYTES = 8192, 32 << 20
+#: Sorted rows, and bytes of them, that are looked at together.
+HELD_ROWS, HELD_BYTES = 20_000, 16 << 20
 
 #: Lines as words of a text: separated by line feeds alone (an inner space must not separate).
 _AS_LINES = bytes(32 if b == 10 else (1 if b == 32 else b) for b in range(256))
-_CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-#: Two of the blocks each: with DISTANCE bits apart, at least BLOCKS - DISTANCE blocks are equal.
-_KEYS = list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
+_PAIRS = list(combinations(range(BLOCKS), 2))
+#: Bits of a word's hash that are sorted, below its line's and its block's number; lines that are voted on together.
+_HASH_BITS, _VOTING = 41, 1 << 19
+
+LINES = "a long, b long, sim long, rest long"
 
 
 def _lines(raw: np.ndarray, at: np.ndarray) -> tuple[textbuf.Words, textbuf.Words, np.ndarray]:
@@ -47,147 +50,186 @@ def _lines(raw: np.ndarray, at: np.ndarray) -> tuple[textbuf.Words, textbuf.Word
     return lines, words, np.searchsorted(words.starts, np.append(lines.starts, len(raw) + 1))
 
 
-def _line_hashes(words: textbuf.Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each line's words in order; 0 for a line without words."""
+def _line_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each line's words in order."""
     place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first)) if len(hashes) else np.zeros(0, np.int64)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(textbuf.mix(hashes + textbuf.mix(place.astype(np.uint64))), dtype=np.uint64)))
-    return np.where(np.diff(first) > 0, total[first[1:]] - total[first[:-1]] + np.uint64(1), 0).astype(np.uint64).view(np.int64)
-
-
-def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64 bits of each line: for each bit, what most of its words have (a tie: 0)."""
-    out = np.zeros(len(first) - 1, np.uint64)
-    full = np.flatnonzero(np.diff(first) > 0)
-    for i in range(0, len(full), 8192):
-        own = full[i : i + 8192]
-        a, b = first[own[0]], first[own[-1] + 1]
-        bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, first[own] - a, axis=0, dtype=np.int32)
-        most = 2 * votes > np.diff(np.append(first[own] - a, b - a))[:, None]
-        out[own] = np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    return (total[first[1:]] - total[first[:-1]]).view(np.int64)
+
+
+def simhash(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits of each block of each line, lines x BLOCKS (for each bit, what most of the block's different words have; a tie: 0), and the blocks' words."""
+    n = len(first) - 1
+    bits, counts = np.zeros((n, BLOCKS), np.uint16), np.zeros((n, BLOCKS), np.int64)
+    for i in range(0, n, _VOTING):
+        own = first[i : i + _VOTING + 1]
+        part = hashes[own[0] : own[-1]]
+        line = np.repeat(np.arange(len(own) - 1, dtype=np.uint64), np.diff(own))
+        block = (part >> np.uint64(_HASH_BITS)) % np.uint64(BLOCKS)
+        votes = np.sort((line << np.uint64(_HASH_BITS + 3)) | (block << np.uint64(_HASH_BITS)) | (part & np.uint64((1 << _HASH_BITS) - 1)))
+        votes = votes[np.append(True, votes[1:] != votes[:-1])] if len(votes) else votes
+        slot = (votes >> np.uint64(_HASH_BITS)).astype(np.int64)
+        begin = np.flatnonzero(np.diff(slot, prepend=-1))
+        size = np.diff(np.append(begin, len(slot)))
+        to = i + (slot[begin] >> 3), slot[begin] & 7
+        counts[to] = size
+        if len(begin):
+            each = np.unpackbits(votes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+            most = 2 * np.add.reduceat(each, begin, axis=0, dtype=np.int32) > size[:, None]
+            bits[to] = np.packbits(most, axis=1, bitorder="little").view("<u2").ravel()
+    return bits, counts
+
+
+def _packed(bits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures as two numbers: four blocks, and the others with the blocks' words (up to KEY_WORDS) above them."""
+    two = np.zeros((2, len(bits)), np.uint64)
+    for k in range(BLOCKS):
+        two[k // 4] |= bits[:, k].astype(np.uint64) << np.uint64(16 * (k % 4))
+        two[1] |= np.minimum(counts[:, k], KEY_WORDS).astype(np.uint64) << np.uint64(32 + 2 * k)
+    return two[0].view(np.int64), two[1].view(np.int64)
+
+
+def _unpacked(sim: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all keys, rows x keys, and whether each is one."""
+    two = (sim.view(np.uint64), rest.view(np.uint64))
+    bits = [(two[k // 4] >> np.uint64(16 * (k % 4))) & np.uint64(0xFFFF) for k in range(BLOCKS)]
+    counts = [(two[1] >> np.uint64(32 + 2 * k)) & np.uint64(3) for k in range(BLOCKS)]
+    values = np.column_stack([bits[i] << np.uint64(16) | bits[j] for i, j in _PAIRS])
+    return values, np.column_stack([counts[i] + counts[j] >= KEY_WORDS for i, j in _PAIRS])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textbuf.pieces(batch, "text"):
             lines, words, first = _lines(*textbuf.as_texts(part.column("text")))
-            hashes = words.hashes()
-            key, owner = _line_hashes(words, hashes, first), lines.owner
-            good = np.flatnonzero(key != 0)
+            hashes, owner = words.hashes(), lines.owner
+            good = np.flatnonzero(np.diff(first) > 0)
             number = np.arange(len(owner)) - lines.first[owner]
             mine = pa.array(owner[good])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(mine), part.column("text_hash").take(mine), pa.array(number[good].astype(np.int32)), pa.array(key[good]), pa.array(simhash(hashes, first).view(np.int64)[good])], names=["doc_id", "text_hash", "number", "line", "sim"])
+            columns = (number.astype(np.int32), _line_hashes(hashes, first), _line_hashes(words.hashes(1), first), *_packed(*simhash(hashes, first)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(mine), part.column("text_hash").take(mine), *(pa.array(c[good]) for c in columns)], names=["doc_id", "text_hash", "number", "a", "b", "sim", "rest"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different lines with their signatures and normalised texts."""
     for batch in batches:
         for part in textbuf.pieces(batch, "text"):
             _, words, first = _lines(*textbuf.as_texts(part.column("text")))
-            key = _line_hashes(words, words.hashes(), first)
-            body = words.data.tobytes()
-            _, once = np.unique(key, return_index=True)
-            once = once[key[once] != 0]
-            norm = [b" ".join(body[a:b] for a, b in zip(words.starts[first[i] : first[i + 1]].tolist(), words.ends[first[i] : first[i + 1]].tolist(), strict=True)).decode() for i in once.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(norm, pa.string())], names=["line", "norm"])
+            hashes = words.hashes()
+            a = _line_hashes(hashes, first)
+            _, once = np.unique(a, return_index=True)
+            once = once[np.diff(first)[once] > 0]
+            body, at = textbuf.spaced(words)
+            norm = pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(at[first].astype(np.int64)), pa.py_buffer(body))
+            columns = (a, _line_hashes(words.hashes(1), first), *_packed(*simhash(hashes, first)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[once]) for c in columns), pc.utf8_rtrim(norm.take(pa.array(once)).cast(pa.string()), " ")], names=["a", "b", "sim", "rest", "norm"])
 
 
-def _mask(k: int) -> np.uint64:
-    return np.uint64(sum(((1 << (_CUTS[c + 1] - _CUTS[c])) - 1) << _CUTS[c] for c in _KEYS[k]))
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line under all its keys."""
+    for batch in batches:
+        values, good = _unpacked(batch.column("sim").to_numpy(), batch.column("rest").to_numpy())
+        keys = textbuf.mix(values | np.arange(len(_PAIRS), dtype=np.uint64) << np.uint64(32)).view(np.int64)
+        lines = np.repeat(batch.column("a").to_numpy(), good.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[good]), pa.array(lines)], names=["key", "a"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each signature under all its keys; a key's lowest four bits say which blocks it is of."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key stands more than once."""
+    last: pa.RecordBatch | None = None  # the last row, and whether the one before has its key
+    follows = False
     for batch in batches:
-        sim, n = batch.column("sim").to_numpy().view(np.uint64), len(_KEYS)
-        keys = [(textbuf.mix((sim & _mask(k)) + np.uint64(k + 1)) << np.uint64(4) | np.uint64(k)).view(np.int64) for k in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.column_stack(keys).ravel()), pa.array(np.repeat(sim.view(np.int64), n))], names=["key", "sim"])
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks().to_batches()[0]
+        key = rows.column("key").to_numpy()
+        same = np.concatenate(([follows], key[1:] == key[:-1], [False]))
+        good = same[:-1] | same[1:]
+        good[-1] = False
+        yield rows.filter(pa.array(good))
+        last, follows = rows.slice(len(key) - 1), bool(same[len(key) - 1])
+    if last is not None and follows:
+        yield last
 
 
 def _runs(table: pa.Table) -> np.ndarray:
     """The number of each row's block; rows come block after block."""
     changes = np.zeros(table.num_rows, bool)
     for c in ("key", "x", "y"):
-        if c in table.column_names:
-            column = table.column(c).to_numpy()
-            changes[1:] |= column[1:] != column[:-1]
+        column = table.column(c).to_numpy()
+        changes[1:] |= column[1:] != column[:-1]
     return np.cumsum(changes)
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted batches, HELD_ROWS at a time and cut so that no block is split; no more than that and a block are held."""
+    """Sorted batches, about HELD_ROWS or HELD_BYTES at a time and cut so that no block is split; no more than that and a block are held."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= HELD_ROWS:
-            table = pa.Table.from_batches(held).combine_chunks()
-            run = _runs(table)
-            last = int(np.searchsorted(run, run[-1]))
-            if last:
-                yield table.slice(0, last)
-            held = table.slice(last).to_batches()
+        for i in range(0, batch.num_rows, 1024):
+            held.append(batch.slice(i, 1024))
+            if sum(b.num_rows for b in held) >= HELD_ROWS or sum(b.get_total_buffer_size() * b.num_rows // max(1, batch.num_rows) for b in held) >= HELD_BYTES:
+                table = pa.Table.from_batches(held).combine_chunks()
+                run = _runs(table)
+                last = int(np.searchsorted(run, run[-1]))
+                if last:
+                    yield table.slice(0, last)
+                held = table.slice(last).to_batches()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one block within DISTANCE that meet under no earlier key; equal signatures only meet under EQUAL."""
-    sim, run, k = table.column("sim").to_numpy().view(np.uint64), _runs(table), table.column("key").to_numpy() & 15
-    first, second, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(sim))
-    for d in range(1, len(sim)):
-        at = at[at + d < len(sim)]
-        at = at[run[at] == run[at + d]]
-        if not len(at):
-            break
-        apart = sim[at] ^ sim[at + d]
-        near = (np.bitwise_count(apart) <= DISTANCE) & ((apart == 0) == (k[at] == EQUAL))
-        i, apart = at[near], apart[near]
-        new = np.ones(len(i), bool)
-        for earlier in range(len(_KEYS)):
-            new &= (k[i] <= earlier) | (k[i] == EQUAL) | ((apart & _mask(earlier)) != 0)
-        first.append(i[new])
-        second.append(i[new] + d)
-    return np.concatenate(first), np.concatenate(second)
-
-
-def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a partner in their block; all rows of a block of more than BUCKET_ROWS, for a closer look."""
-    for table in _whole_blocks(batches):
-        size = np.bincount(run := _runs(table))
-        found = size[run] > (BUCKET_ROWS if "x" not in table.column_names else len(run))
-        short = np.flatnonzero(~found)
-        for side in _near(table.take(pa.array(short))):
-            found[short[side]] = True
-        yield from table.filter(pa.array(found)).to_batches()
-
-
 def _links(similarity: float):
     """Verified links of blocks; lines that are already connected in what is at hand need no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_blocks(batches):
-            line, norm, out = table.column("line").to_pylist(), table.column("norm").to_pylist(), []
-            top = {n: n for n in line}
-
-            def root(n: int, top: dict[int, int] = top) -> int:
+            table = table.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending"), ("size", "ascending")]).combine_chunks()
+            size, block, part = table.column("size").to_numpy(), _runs(table), table.column("part").to_numpy()
+            of_two = table.column("x").to_numpy() != table.column("y").to_numpy()
+            values, good = _unpacked(table.column("sim").to_numpy(), table.column("rest").to_numpy())
+            key = table.column("key").to_numpy().view(np.uint64)
+            here = (textbuf.mix(values | np.arange(len(_PAIRS), dtype=np.uint64) << np.uint64(32)) == key[:, None]).argmax(1)
+            norm, nodes = table.column("norm"), np.column_stack((table.column("a").to_numpy(), table.column("b").to_numpy()))
+            _, line = np.unique(nodes, axis=0, return_inverse=True)
+            top, out = np.arange(int(line.max(initial=-1)) + 1), []
+
+            def root(n: int, top: np.ndarray = top) -> int:
                 while top[n] != n:
                     top[n] = top[top[n]]
                     n = top[n]
-                return n
-
-            size = np.fromiter(map(len, norm), np.int64, len(norm))
-            first, second = _near(table)
-            able = np.abs(size[first] - size[second]) <= _edits(similarity, np.maximum(size[first], size[second]))
-            for i, j in zip(first[able].tolist(), second[able].tolist(), strict=True):
-                if root(line[i]) != root(line[j]):
-                    if alike(norm[i], norm[j], similarity):
-                        top[root(line[i])] = root(line[j])
-                        out.append((line[i], line[j]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                return int(n)
+
+            at = np.arange(table.num_rows)
+            for d in range(1, table.num_rows):
+                at = at[at + d < table.num_rows]
+                at = at[block[at] == block[at + d]]
+                if not len(at):
+                    break
+                # sizes ascend within a block: who is too short for this one is too short for all that follow
+                at = at[size[at + d] - size[at] <= _edits(similarity, size[at + d])]
+                able = at[~of_two[at] | (part[at] != part[at + d])]
+                earlier = (values[able] == values[able + d]) & good[able] & good[able + d]
+                able = able[earlier.argmax(1) == here[able]]
+                while (up := top[top]).tobytes() != top.tobytes():
+                    top[:] = up
+                for i in able[top[line[able]] != top[line[able + d]]].tolist():
+                    a, b = root(line[i]), root(line[i + d])
+                    if a != b and alike(norm[i].as_py(), norm[i + d].as_py(), similarity):
+                        top[max(a, b)] = min(a, b)
+                        out.append((i, i + d))
+            ends = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([binaries(nodes[ends[:, 0]]), binaries(nodes[ends[:, 1]])], names=["a", "b"])
 
     return run
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and labels as the two numbers that each is made of."""
+    for batch in batches:
+        columns = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64).reshape(-1, 2).T for c in ("node", "label")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for two in columns for c in two], names=["a", "b", "to_a", "to_b"])
+
+
 def _word_edits(a: list[str], b: list[str]) -> int:
     """Edits that turn one line into another word by word, outside the words both begin and end with: a bound from above."""
     if len(a) == len(b):
@@ -215,6 +257,12 @@ def distance(a: str, b: str, most: int) -> int:
     """Edit distance (insert, delete, replace), by bit vectors over the shorter text; most + 1 if it is more than most."""
     if len(a) > len(b):
         a, b = b, a
+    i, j = 0, 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    while j < len(a) - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
     if len(b) - len(a) > most or not a:
         return min(len(b), most + 1)
     at: dict[str, int] = {}
@@ -264,45 +312,52 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_groups(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, labels): every line with words, by document; labels of lines linked with others. texts: doc_id, text, text_hash."""
-    seen = kept(texts.mapInArrow(_occurrences, "doc_id long, text_hash long, number int, line long, sim long"), "lines")
-    lines = kept(seen.groupBy("line").agg(F.first("sim").alias("sim")), "different-lines")
-    sims = kept(lines.groupBy("sim").agg(F.count("*").alias("lines")), "signatures")
-    keys = sims.select("sim").mapInArrow(_keys, "key long, sim long").repartition("key").sortWithinPartitions("key")
-    near = kept(keys.mapInArrow(_near_members, "key long, sim long"), "near-signatures")
-    equal = sims.where("lines > 1").select((F.shiftleft("sim", 4) + EQUAL).alias("key"), "sim")
-    members = kept(near.unionByName(equal).join(lines, "sim"), "members")
-    sizes = kept(members.groupBy("key").agg(F.count("*").alias("members")), "bucket-sizes")
-    blocks = F.ceil(F.col("members") / BUCKET_ROWS).cast("int")
-    # a bucket of several blocks: every pair of blocks is compared by itself
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "line", "sim", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    together = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    near = kept(together(dealt).mapInArrow(_near_members, dealt.schema), "near-lines")
-    needed = kept(near.select("line").distinct(), "needed-lines")
-    norms = texts.select("text").mapInArrow(_texts, "line long, norm string").join(small(needed), "line", "left_semi")
-    norms = kept(norms.groupBy("line").agg(F.min("norm").alias("norm")), "norms")
-    links = together(near.join(norms, "line")).mapInArrow(_links(similarity), "a long, b long")
-    return seen, components(kept(links, "line-links"))
+    """(occurrences, labels): every line with words, by document; the line that stands for each line linked with others. texts: doc_id, text, text_hash."""
+    seen = kept(texts.mapInArrow(_occurrences, f"doc_id long, text_hash long, number int, {LINES}"), "lines")
+    lines = kept(seen.groupBy("a", "b").agg(F.first("sim").alias("sim"), F.first("rest").alias("rest"), F.min("text_hash").alias("holder")), "different-lines")
+    keys = lines.select("a", "sim", "rest").mapInArrow(_keys, "key long, a long")
+    near = kept(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_together, "key long, a long"), "near-lines")
+    needed = kept(near.select("a").distinct(), "needed-lines")
+    # texts of these lines alone, each from one document that holds it
+    holders = kept(matching(lines, needed, "a").select(F.col("holder").alias("text_hash")).distinct(), "holders")
+    norms = matching(texts, holders, "text_hash").select("text").mapInArrow(_texts, f"{LINES}, norm string")
+    norms = matching(norms, needed, "a").groupBy("a", "b").agg(F.first("sim").alias("sim"), F.first("rest").alias("rest"), F.min("norm").alias("norm"))
+    norms = kept(norms.withColumn("size", F.length("norm")), "norms")
+    dropped(lines, needed, holders)
+    # a large bucket: every pair of its parts is compared by itself
+    sizes = near.join(norms.select("a", F.octet_length("norm").alias("bytes")), "a").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / BUCKET_ROWS), F.ceil(F.col("bytes") / BUCKET_BYTES)).cast("int")
+    large = kept(sizes.select("key", parts.alias("parts")).where("parts > 1"), "large-buckets")
+    dealt = near.join(small(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "a", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part")
+    links = dealt.join(norms, "a").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_links(similarity), "a binary, b binary")
+    links = kept(links, "line-links")
+    dropped(near, norms, large)
+    labels = kept(components(links).mapInArrow(_halves, "a long, b long, to_a long, to_b long"), "line-labels")
+    dropped(links)
+    return seen, labels
 
 
 def deduplicated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, text without the lines whose group has an earlier occurrence.
 
     A line is normalised to its words of ASCII letters, digits and characters beyond
-    ASCII, A-Z lower-cased, single-spaced. Lines equal in that form, or within
-    DISTANCE bits of each other and at least `similarity` alike (1 - edits / the
-    longer one's characters), are linked; of a connected group the occurrence with
-    the smallest doc_id (null last) and line stays. n_lines counts lines that are not
-    empty; lines without words always stay. Null texts stay null; rows repeated in id
-    and text are one document and lose the same lines; other columns are ignored.
+    ASCII, A-Z lower-cased, single-spaced. Lines equal in that form are linked, and so
+    are lines that agree in two blocks of their signatures and are at least
+    `similarity` alike (1 - edits / the longer one's characters); of a connected group
+    the occurrence with the smallest doc_id (null last) and line stays. n_lines counts
+    lines that are not empty; lines without words always stay. Null texts stay null;
+    rows repeated in id and text are one document and lose the same lines; other
+    columns are ignored.
     """
     texts = _texts_of(docs, id_col, text_col)
     seen, labels = line_groups(texts, similarity)
-    seen = seen.select("doc_id", "text_hash", "number", "line", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "number").alias("place"))
-    named = kept(seen.join(labels.withColumnRenamed("node", "line"), "line", "left").select("place", F.coalesce("label", "line").alias("label")), "named-lines")
-    best = kept(named.groupBy("label").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "best-lines")
-    gone = named.join(best, "label").where(F.col("place") != F.col("best")).groupBy("place.doc_id", "place.text_hash").agg(F.sort_array(F.collect_set("place.number")).alias("gone"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "number")
+    named = seen.select("a", "b", place.alias("place")).join(small(labels), ["a", "b"], "left")
+    named = kept(named.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "place"), "named-lines")
+    best = kept(named.groupBy("a", "b").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "best-lines")
+    gone = named.join(best, ["a", "b"]).where(F.col("place") != F.col("best")).groupBy("place.doc_id", "place.text_hash").agg(F.sort_array(F.collect_set("place.number")).alias("gone"))
     gone = kept(gone.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "gone"), "gone-lines")
+    dropped(seen, labels, named, best)
     rows = texts.join(gone, texts["doc_id"].eqNullSafe(F.col("its_id")) & (texts["text_hash"] == F.col("its_hash")), "left")
     return rows.select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")

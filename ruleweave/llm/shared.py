@@ -34,10 +34,18 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that kept() wrote, once nothing reads it any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that kept() wrote, once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def matching(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose column is in keys: these are broadcast up to BROADCAST_ROWS, else hashed part by part, without sorting df."""
+    few = small(keys)
+    return df.join(few if few is not keys else keys.hint("shuffle_hash"), column, "left_semi")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -108,6 +108,20 @@ def words(raw: np.ndarray, at: np.ndarray, table: bytes) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, at))
 
 
+def spaced(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words end to end, a space after each, and where each begins (then the end)."""
+    sizes = found.ends - found.starts
+    at = np.concatenate(([0], np.cumsum(sizes + 1)))
+    flat = np.full(int(at[-1]), 32, np.uint8)
+    inside = np.zeros(len(found.data) + 1, np.int8)
+    inside[found.starts] += 1
+    inside[found.ends] -= 1
+    put = np.ones(len(flat), bool)
+    put[at[1:] - 1] = False
+    flat[put] = found.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    return flat, at
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE):
     """The batch cut into runs of rows with about `most` bytes of text each (a longer text is a run of its own)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)

@@ -1,6 +1,7 @@
 """Operators over whole tables, against plain versions and SQL."""
 
 import glob
+import itertools
 import math
 import os
 import random
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,8 +183,10 @@ def plain_lines(docs):
             if words:
                 places[" ".join(words)].append((doc, k))
     for norm in places:
-        found = textbuf.words(*textbuf.as_texts(__import__("pyarrow").array([norm])), textbuf.ALNUM)
-        sims[norm] = int(line_dedup.simhash(found.hashes(), found.first)[0])
+        found = textbuf.words(*textbuf.as_texts(pa.array([norm])), textbuf.ALNUM)
+        bits, counts = line_dedup.simhash(found.hashes(), found.first)
+        pairs = itertools.combinations(range(line_dedup.BLOCKS), 2)
+        sims[norm] = {(i, j, bits[0, i], bits[0, j]) for i, j in pairs if counts[0, i] + counts[0, j] >= line_dedup.KEY_WORDS}
     norms, top = list(places), {n: n for n in places}
 
     def root(n):
@@ -201,7 +205,7 @@ def plain_lines(docs):
 
     for i, a in enumerate(norms):
         for b in norms[:i]:
-            if (sims[a] ^ sims[b]).bit_count() <= line_dedup.DISTANCE and edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            if sims[a] & sims[b] and edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
                 top[root(a)] = root(b)
     groups = defaultdict(list)
     for n, at in places.items():
@@ -209,8 +213,9 @@ def plain_lines(docs):
     return Counter(doc for at in groups.values() for doc, _ in sorted(at)[1:])
 
 
-def test_lines_equal_a_plain_version(spark, texts, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 3)
+@pytest.mark.parametrize("rows", [3, 8192])
+def test_lines_equal_a_plain_version(spark, texts, monkeypatch, rows):
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", rows)
     rng = random.Random(2)
     words = [f"word{i}" for i in range(60)]
     base = " ".join(rng.choice(words) for _ in range(40))
@@ -223,6 +228,56 @@ def test_lines_equal_a_plain_version(spark, texts, monkeypatch):
         assert r.n_lines == sum(bool(x) for x in docs[r.doc_id].split("\n")) and r.n_lines - r.n_dropped == sum(bool(x) for x in r.text.split("\n"))
 
 
+def test_signatures_count_by_words():
+    """Against a plain count, word by word."""
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice(("aa", "b", "cdef", "gh", "ij", "k", "lm")) + str(rng.randrange(9)) for _ in range(rng.randrange(1, 60))) for _ in range(80)]
+    found = textbuf.words(*textbuf.as_texts(pa.array(lines)), textbuf.ALNUM)
+    bits, counts = line_dedup.simhash(found.hashes(), found.first)
+    for i, line in enumerate(lines):
+        word = dict(zip(line.split(), found.hashes()[found.first[i] : found.first[i + 1]].tolist()))
+        for k in range(line_dedup.BLOCKS):
+            mine = [h for h in word.values() if (h >> line_dedup._HASH_BITS) % line_dedup.BLOCKS == k]
+            assert counts[i, k] == len(mine)
+            assert int(bits[i, k]) == sum(1 << b for b in range(16) if 2 * sum(h >> b & 1 for h in mine) > len(mine))
+
+
+def test_lines_alike_by_edits_are_found(texts):
+    """How many pairs within the edit similarity share a bucket, whatever their signatures: lines with one and with two words changed."""
+    rng = random.Random(6)
+    lines = [x for x in {" ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))) for t in texts.values() for x in (t or "").split("\n")} if len(x.split()) > 4]
+
+    def changed(line, times):
+        words = line.split(" ")
+        for _ in range(times):
+            k = rng.randrange(len(words))
+            words[k] = rng.choice((words[k] + "x", words[k][:-1] or "q", rng.choice(rng.choice(lines).split())))
+        return " ".join(words)
+
+    def keys(some):
+        found = textbuf.words(*textbuf.as_texts(pa.array(some)), textbuf.ALNUM)
+        return line_dedup._unpacked(*line_dedup._packed(*line_dedup.simhash(found.hashes(), found.first)))
+
+    recall = []
+    for times in (1, 2):
+        pairs = [(x, y) for x in rng.sample(lines, 600) if (y := changed(x, times)) != x and line_dedup.alike(x, y, 0.8)]
+        (v, g), (w, h) = keys([x for x, _ in pairs]), keys([y for _, y in pairs])
+        recall.append(((v == w) & g & h).any(1).mean())
+    assert recall[0] > 0.98 and recall[1] > 0.85
+
+
+def test_long_lines_and_words_that_imitate_one_another(spark):
+    word = "a"
+    while len(word) < 8192:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    docs = [(1, word), (2, other), (3, long), (4, long.replace(" w5", " v5", 3)), (5, long[::-1])]
+    got = line_dedup.deduplicated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0}
+
+
 def test_lines_of_odd_tables(odd, empty):
     rows = line_dedup.deduplicated_lines(odd).collect()
     assert len(rows) == odd.count() and sorted(r.n_dropped for r in rows if r.doc_id in (1, 2, 3)) == [0, 2, 2, 2]
