@@ -116,10 +116,15 @@ _SQL_CONTAMINATION = f"""
 def _sql_mix(documents: str) -> str:
     """Sizes, targets and draws of a mix of `documents`, as common table expressions; the last is `mixed`."""
     return rf"""
-    measured AS (
+    drawn AS (
         SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-            CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS k
+            CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS one
         FROM {documents}),
+    counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, one) - 1 AS number FROM drawn),
+    measured AS (
+        SELECT *, CASE WHEN number = 0 THEN one ELSE CAST('0x' || substr(md5(one || '|' || number), 1, 13) AS BIGINT) END AS k,
+            length(bin(size)) // 2 AS class
+        FROM counted),
     sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM measured GROUP BY source),
     weighed AS (
         SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w, source_size * 2 AS cap
@@ -135,15 +140,25 @@ def _sql_mix(documents: str) -> str:
     targets AS (
         SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(settled.level * w, CAST(cap AS DOUBLE))) AS target
         FROM levels, settled),
-    dues AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM targets),
-    ranked AS (
-        SELECT measured.*, source_size, target, due, floor(due) AS whole, due - floor(due) AS p,
+    dues AS (
+        SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, target - whole * source_size AS rest
+        FROM targets),
+    classes AS (SELECT source, class, CAST(sum(size) AS DOUBLE) AS words FROM measured GROUP BY source, class HAVING sum(size) > 0),
+    fills AS (
+        SELECT classes.*, (rest - coalesce(sum(words) OVER below, 0)) / sum(words / power(2, class)) OVER onward AS scale
+        FROM classes JOIN dues ON classes.source IS NOT DISTINCT FROM dues.source
+        WINDOW below AS (PARTITION BY classes.source ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            onward AS (PARTITION BY classes.source ORDER BY class ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    scales AS (SELECT source, arg_min(scale, class) AS scale FROM fills WHERE scale <= power(2, class) GROUP BY source),
+    chances AS (
+        SELECT measured.*, source_size, target, whole, rest, least(1.0, coalesce(scale, 0) / power(2, class)) AS p,
             (((k + 0.5) / 4503599627370496) / (1 - (k + 0.5) / 4503599627370496)) AS odds
-        FROM measured JOIN dues ON measured.source IS NOT DISTINCT FROM dues.source),
+        FROM measured JOIN dues ON measured.source IS NOT DISTINCT FROM dues.source LEFT JOIN scales ON measured.source IS NOT DISTINCT FROM scales.source),
+    ranked AS (SELECT *, CASE WHEN p >= 1 THEN 0.0 WHEN p > 0 THEN odds / (p / (1 - p)) END AS v FROM chances),
     mixed AS (
-        SELECT *, CAST(whole AS BIGINT) + CASE WHEN p > 0 AND sum(size) OVER drawn - size / 2 <= target - whole * source_size THEN 1 ELSE 0 END AS copies
+        SELECT *, CAST(whole AS BIGINT) + CASE WHEN p > 0 AND sum(size) OVER drawn - size / 2 <= rest THEN 1 ELSE 0 END AS copies
         FROM ranked
-        WINDOW drawn AS (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN odds / (p / (1 - p)) END, k, size ROWS UNBOUNDED PRECEDING))"""
+        WINDOW drawn AS (PARTITION BY source ORDER BY v, k, size ROWS UNBOUNDED PRECEDING))"""
 
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -327,6 +327,35 @@ def test_mixture_of_odd_tables(odd, empty):
     assert out.columns == odd.columns and sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, ((x.doc_id, x.text) for x in odd.collect() for r in [next(r for r in rows if (r.doc_id, r.size) == (x.doc_id, len((x.text or "").split())))] for _ in range(r.copies))))
 
 
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    rows = [(7, "one two three four", "b")] * 400 + [(100 + i, "x " * 70, "a") for i in range(10)] + [(None, None, None)] * 3 + [(None, "y", "c")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for df, column in ((source_mix.mix(docs), "taken"), (source_mix.mixed(docs).join(source_mix.mix(docs).select("doc_id", "source_size", "target").distinct(), "doc_id"), None)):
+        seven = df.where("doc_id = 7")
+        taken = seven.agg(F.sum("taken")).first()[0] if column else 4 * seven.count()
+        assert 1600 < seven.first().target < 3200 and abs(taken - seven.first().target) <= 3
+    assert len(source_mix.mix(docs).collect()) == len(rows)
+
+
+def test_documents_are_drawn_as_often_as_they_should(spark):
+    """Shares drawn by size against a plain computation of the probabilities."""
+    n = 6000
+    sizes = {1: 0, 20: 2, 300: 4, 1000: 5}
+    docs = spark.range(4 * n).selectExpr("id doc_id", f"array(1, 20, 300, 1000)[cast(id % 4 as int)] size").selectExpr("doc_id", "repeat('w ', size) text", "'s' source")
+    whole = n * sum(sizes)
+    rest = 0.5 * whole
+    got = source_mix.mix(docs, weights=(1,), share=0.5).groupBy("size").agg(F.avg("copies").alias("share"), F.sum("taken").alias("taken")).collect()
+    promised = lambda c: sum(n * s * min(1, c / 2**k) for s, k in sizes.items())
+    low, high = 0.0, 64.0
+    for _ in range(60):
+        scale = (low + high) / 2
+        low, high = (scale, high) if promised(scale) < rest else (low, scale)
+    for r in got:
+        p = min(1, scale / 2 ** sizes[r["size"]])
+        assert abs(r.share - p) <= 4.5 * math.sqrt(p * (1 - p) / n) + 1e-9
+    assert abs(sum(r.taken for r in got) - rest) <= 500 and len({round(r.share, 2) for r in got}) > 2
+
+
 def test_mixture_is_near_its_targets(spark, docs, monkeypatch):
     monkeypatch.setattr(source_mix, "BINS", 4)
     one = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "big").otherwise(F.col("source")))
