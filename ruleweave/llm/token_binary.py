@@ -124,10 +124,13 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and whose words never span it.
 
     A text is cut at ASCII white space, and a run of letters is cut from the ASCII
-    punctuation after it, where this tokenizer cuts too; each different piece goes
-    to the library once while it is remembered. `whole()` is the plain way, for tests.
+    punctuation after it, where such a tokenizer cuts too; each different piece goes
+    to the library once while it is remembered, by two independent hashes. `whole()` is
+    the plain way: it is taken for any tokenizer that cuts PROBES otherwise.
     """
 
+    #: Texts that a tokenizer of another kind gives other ids for if they are cut.
+    PROBES = ("one two  three", " lead, (trail) ", "It's DON'T; a-b_c", "x.y!? \u00e9t\u00e9, \u00dcber", "tab\tand\nline", "12 3.4 5,6 abc123 <b>", "\u65e5\u672c \u8a9e\u3002 ok")
     SPLIT = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
     LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
     PLAIN_TAIL = np.array([b in b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~" for b in range(256)])
@@ -140,33 +143,39 @@ class WordEncoder:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         for word, i in self.tokenizer.get_vocab().items():
             self.last[i] = word.endswith("</w>")
+        self.cuts = True
         self.forget()
+        ids, lengths = self.ids(*textbuf.as_texts(pa.array(self.PROBES)), 0)
+        cut = [x[:-1].tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+        self.cuts = cut == self.whole(list(self.PROBES))
 
     def forget(self) -> None:
-        """The remembered pieces: hashes in order with their ids' places, as a large and a recent part, and all ids."""
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        """The remembered pieces: hashes in order, with a second hash and their ids' places, as a large and a recent part, and all ids."""
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.known = [none, none]
         self.pool = [np.zeros(0, np.uint32)]
         self.pooled = 0
 
-    def recall(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash's ids begin in the pool (-1: not remembered) and how many they are."""
+    def recall(self, hashes: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's ids begin in the pool (-1: not remembered) and how many they are."""
         begin, length = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for keys, at, n in self.known:
+        for keys, checks, at, n in self.known:
             if len(keys):
                 k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                same = keys[k] == hashes
+                same = (keys[k] == hashes) & (checks[k] == second)
                 begin[same], length[same] = at[k[same]], n[k[same]]
         return begin, length
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, second: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new pieces begin, and how many they are."""
         ids, length = self.each(texts)
         begin = self.pooled + np.cumsum(length) - length
         self.pool = [np.concatenate((*self.pool, ids))]
         self.pooled = len(self.pool[0])
-        self.known[1] = _merged(self.known[1], (hashes, begin, length))
+        self.known[1] = _merged(self.known[1], (hashes, second, begin, length))
         if 4 * len(self.known[1][0]) > len(self.known[0][0]):
             self.known = [_merged(*self.known), tuple(x[:0] for x in self.known[1])]
+        return begin, length
 
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has. Words of letters alone go to the library in lines of JOINED: each is one word there, and ends with the id that says so."""
@@ -189,10 +198,18 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _plainly(self, raw: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        body = raw.tobytes()
+        got = self.whole([body[a:b].decode() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)])
+        return np.array([i for x in got for i in (*x, end)], np.uint32), np.array([len(x) + 1 for x in got], np.int64)
+
     def ids(self, raw: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, `end` after each, and the ids of each text."""
         import pandas as pd
 
+        if not self.cuts:
+            return self._plainly(raw, at, end)
+
         words = textbuf.words(raw, at, self.SPLIT)
         data, starts, ends = words.data, words.starts, words.ends
         # letters, then plain punctuation: cut between them, and fold the letters' case
@@ -224,18 +241,21 @@ class WordEncoder:
         first = np.concatenate((slot, [total]))[words.first]
         parts = textbuf.Words(data, s2, e2, first)
         codes, seen = pd.factorize(parts.hashes())
-        begin, length = self.recall(seen)
+        spots = np.zeros(len(seen), np.int64)
+        spots[codes[::-1]] = np.arange(len(codes))[::-1]
+        every = parts.hashes(1)
+        second = every[spots]
+        if (second[codes] != every).any():  # two pieces with one hash
+            return self._plainly(raw, at, end)
+        begin, length = self.recall(seen, second)
         fresh = np.flatnonzero(begin < 0)
         if len(fresh):
             if sum(len(x[0]) for x in self.known) + len(fresh) > REMEMBERED:
                 self.forget()
                 fresh = np.arange(len(seen))
-            one = np.zeros(len(seen), np.int64)
-            one[codes[::-1]] = np.arange(len(codes))[::-1]
-            spots = one[fresh]
             body = data.tobytes()
-            self.learn(seen[fresh], [body[a:b].decode() for a, b in zip(s2[spots].tolist(), e2[spots].tolist(), strict=True)])
-            begin, length = self.recall(seen)
+            texts = [body[a:b].decode() for a, b in zip(s2[spots[fresh]].tolist(), e2[spots[fresh]].tolist(), strict=True)]
+            begin[fresh], length[fresh] = self.learn(seen[fresh], second[fresh], texts)
         pool = np.concatenate((self.pool[0], np.array([end], np.uint32)))
         begin, length = np.concatenate((begin, [len(pool) - 1])), np.concatenate((length, [1]))
         docs = len(at) - 1
@@ -285,12 +305,13 @@ def write_token_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Writes token ids of all texts as Simple-8b blocks and returns the folder.
 
     docs: an id (long) and a text. Shards follow one another in ascending id order
-    (null ids first; equal ids by text, null text first), so shard, block and place
-    give the order of all ids. A null or empty text is the end id alone; a text of
+    (null ids first; equal ids by their text's hash), so shard, block and place give the
+    order of all ids. Many rows of one id, or of none, are dealt to several tasks. A null or empty text is the end id alone; a text of
     any length stays within one block. No rows: an empty folder with its schema.
     Other columns are ignored. tokenizer: a tokenizer file (each executor must have it).
     """
-    rows = bare(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = bare(docs, doc_id=id_col, text=text_col).withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place").select("doc_id", "text")
     out = rows.mapInArrow(_encode(tokenizer, end_id, block_ids), BLOCK_SCHEMA)
     if path is None:
         return written(out, "tokens")
