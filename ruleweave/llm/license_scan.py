@@ -2,8 +2,8 @@
 
 A notice with k allowed edits is cut into k + 1 pieces; text within k edits of it
 holds one of the pieces unchanged (pigeonhole). Exact search for the pieces gives
-the words a match can begin with, and each candidate is verified by itself by its
-edit distance. Places where a notice stands word for word are found by the same
+the words a match can begin with, and each candidate is verified by itself by the
+regex library's bounded-error matching. Places where a notice stands word for word are found by the same
 search: all of its pieces are there.
 """
 
@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbuf
-from .line_dedup import distance
 from .shared import bare
 
 
@@ -59,7 +58,11 @@ class Scanner:
     def __init__(self, notices: tuple[Notice, ...]):
         import ahocorasick
 
+        import regex
+
         self.notices = notices
+        # of a span as a whole: its least errors, if they are within the bound
+        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}") for n in notices]
         self.seeds = ahocorasick.Automaton()
         for k, notice in enumerate(notices):
             offset = 0
@@ -68,6 +71,14 @@ class Scanner:
                 offset += len(piece)
         self.seeds.make_automaton()
 
+    def edits(self, k: int, text: str, s: int, e: int) -> int | None:
+        """Errors of a span against notice k; None if there are too many."""
+        phrase = self.notices[k].phrase
+        if e - s == len(phrase) and text.startswith(phrase, s):
+            return 0
+        found = self.patterns[k].fullmatch(text, s, e) if self.notices[k].edits else None
+        return sum(found.fuzzy_counts) if found else None
+
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, first, end, edits) in a text of single-spaced words, each notice's matches apart from one another.
 
@@ -97,10 +108,10 @@ class Scanner:
                     e = e if e >= 0 else len(text)
                     if e > s + size + notice.edits:
                         break
-                    edits = distance(text[s:e], notice.phrase, notice.edits)
-                    if not edits:
+                    edits = self.edits(k, text, s, e)
+                    if edits == 0:
                         exact.append((k, s, e, 0))  # word for word: every place
-                    elif edits <= notice.edits and core <= set(text[s:e].split(" ")):
+                    elif edits is not None and core <= set(text[s:e].split(" ")):
                         near.append((edits, s, e))
             found += exact
             taken = [(s, e) for _, s, e, _ in exact]
@@ -123,8 +134,11 @@ class Scanner:
         for i in range(len(texts)):
             a, b = words.first[i], words.first[i + 1]
             text = body[at[a] : at[b] - 1].decode() if b > a else ""
-            for k, s, e, edits in self.spans(text):
-                rows.append((self.notices[k].label, s, e, text.count(" ", 0, s), text.count(" ", s, e) + 1, edits, edits == 0))
+            found = self.spans(text)
+            blanks = np.flatnonzero(np.fromiter(map(" ".__eq__, text), bool, len(text))) if found else ()
+            for k, s, e, edits in found:
+                before, upto = np.searchsorted(blanks, (s, e))
+                rows.append((self.notices[k].label, s, e, int(before), int(upto - before) + 1, edits, edits == 0))
             offsets.append(len(rows))
         values = pa.StructArray.from_arrays([pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(kinds)], fields=[pa.field(n, t) for n, t in kinds])
         return pa.RecordBatch.from_arrays([ids, pa.array(words.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "n_words", "spans"])
