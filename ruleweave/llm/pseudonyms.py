@@ -8,6 +8,7 @@ holder can turn them back. Only values that pass their form's checks are touched
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import ipaddress
@@ -25,6 +26,9 @@ ROUNDS = 10
 #: Characters around a digit or @ that are searched; no value has a longer part without either, but for white space to cut at.
 REACH = 64
 _SIGN = re.compile("[0-9@]+")
+_BLANK = re.compile("[ \n\t]")
+#: What makes four numbers with points between them a version.
+_VERSION = re.compile(r"(?i)\b(?:v|ver|version|release|rev|build)[ .:]*$")
 #: Digits, and letters of ASCII and Latin-1 by case.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "date", "secret")
@@ -124,12 +128,12 @@ class Pseudonyms:
         self.key, self.back = key, back
         d = r"(?<![\w.+-])"
         self.forms: list[tuple[str, re.Pattern, Callable[[str], str | None], str]] = [
-            ("email", re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), self.email, "@"),
+            ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), self.email, "@"),
             ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"), self.secret, ""),
             ("iban", re.compile(rf"{d}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w)"), self.iban, ""),
             ("card", re.compile(r"(?<![\w.+])\d(?:[ -]?\d){12,}+"), self.card, ""),
             ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), self.ip, "."),
-            ("phone", re.compile(r"(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"), self.phone, ""),
+            ("phone", re.compile(r"(?<![\w])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])(?:\+\d{1,3}[ .-]?\d{3}[ .-]\d{3}[ .-]\d{4}|[2-9]\d{2}([ .-])[2-9]\d{2}\1\d{4})(?![\w-])|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"), self.phone, ""),
             ("ssn", re.compile(rf"{d}\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])"), self.ssn, "-"),
             ("date", re.compile(rf"{d}(?:\d{{4}}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{{4}})(?![\w-])"), self.date, ""),
         ]
@@ -208,6 +212,8 @@ class Pseudonyms:
         """(start, end, new) of what changes in a match, counted from the match's start."""
         if kind == "card":
             return self.cards(m.group(), not re.match(r"[\w-]", m.string[m.end() : m.end() + 1]))
+        if kind == "ip" and _VERSION.search(m.string[max(0, m.start() - 12) : m.start()]):
+            return []
         new = change(m.group())
         return [] if new is None else [(0, len(m.group()), new)]
 
@@ -219,6 +225,12 @@ class Pseudonyms:
         return str(ipaddress.IPv4Address(self._p(x, 1 << 32, "ip")))
 
     def phone(self, value: str) -> str | None:
+        if value[0] not in "+(":  # a bare number: area and exchange stay such that it can be one
+            a, b, c = value[:3], value[4:7], value[8:]
+            x = self._p(((int(a) - 200) * 800 + int(b) - 200) * 10_000 + int(c), 800 * 800 * 10_000, "phone bare")
+            x, c = divmod(x, 10_000)
+            a, b = divmod(x, 800)
+            return f"{a + 200}{value[3]}{b + 200}{value[7]}{c:04d}"
         country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value)
         head = country.group() if country else ""
         body = "".join(c for c in value[len(head) :] if c.isdigit())
@@ -273,8 +285,8 @@ class Pseudonyms:
                 continue
             blank = max(value.rfind(c, done, a + 1) for c in " \n\t")
             a = done if blank < 0 else blank
-            ends = [e for e in (value.find(c, b) for c in " \n\t") if e >= 0]
-            b = max(b, min(ends)) if ends else len(value)
+            blank = _BLANK.search(value, b)
+            b = blank.start() if blank else len(value)
             new, n = self._stretch(value[a:b])
             out += [value[done:a], new]
             counts = [x + y for x, y in zip(counts, n, strict=True)]
@@ -308,17 +320,20 @@ class Pseudonyms:
         return value, counts
 
     def _by_spans(self, value: str) -> tuple[str, list[int]]:
-        counts, spans = [0] * len(KINDS), []
+        counts, spans = [0] * len(KINDS), []  # in order and apart
         for kind, pattern, change, _ in self.forms:
             for m in pattern.finditer(value):
                 for a, b, new in self.changes(kind, change, m):
                     a, b = a + m.start(), b + m.start()
-                    if not any(a < y and x < b for x, y, _ in spans):
-                        spans.append((a, b, new))
+                    at = bisect.bisect_right(spans, a, key=lambda x: x[1])
+                    if at == len(spans) or spans[at][0] >= b:
+                        spans.insert(at, (a, b, new))
                         counts[KINDS.index(kind)] += 1
-        for a, b, new in sorted(spans, reverse=True):
-            value = value[:a] + new + value[b:]
-        return value, counts
+        out, done = [], 0
+        for a, b, new in spans:
+            out += [value[done:a], new]
+            done = b
+        return "".join([*out, value[done:]]), counts
 
 
 _DAYS: list[np.ndarray] = []
@@ -339,9 +354,10 @@ def pseudonymise(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_co
     """Per row: doc_id, text with pseudonyms, n_replaced, and n_<kind> for each of KINDS.
 
     Found are e-mail addresses, runs of 32 to 128 hexadecimal digits, IBANs (check
-    digits), card numbers (Luhn), IPv4 addresses, phone numbers, US social security
-    numbers and dates of 1900 to 2099; what fails its check is left alone, and so is
-    every other character. A card may stand among other numbers, such as its expiry;
+    digits), card numbers (Luhn), IPv4 addresses (not after "version" and the like), phone
+    numbers (with + or brackets, or of ten digits in three groups with an area and an
+    exchange that exist), US social security numbers and dates of 1900 to 2099; what
+    fails its check is left alone, and so is every other character. A card may stand among other numbers, such as its expiry;
     usual forms go before others, and of several readings the first from the left.
     Null texts stay null, and empty ones empty; repeated values
     and rows change alike; long texts are read whole; other columns are ignored.
