@@ -103,7 +103,10 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
 
 
 def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS, outside: float = OUTSIDE, dims: int = DIMS) -> Model:
-    """Learns from rows with a language and a text: document frequencies from all of them, centroids from fit_rows different texts at most, each once."""
+    """Learns from rows with a language and a text: document frequencies from all of them, centroids from fit_rows different texts at most, each once.
+
+    Languages share fit_rows evenly; of more languages than that, the rarest are left out.
+    """
     rows = bare(docs, text=text_col, lang=lang_col).where("lang is not null and text is not null")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -180,22 +180,25 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = BINS, pair_bins: int = PAIR
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, **options) -> Model:
     """A model of label_col (0 or 1; other rows are left out) from texts alone.
 
-    Of more than fit_rows labelled rows, about fit_rows are taken by a hash of id and
-    label, the same in every run. A document with several labels counts with each.
+    Of more than fit_rows different pairs of id and label, about fit_rows are taken by a
+    hash, the same in every run. A document with several labels counts with each; of
+    rows with one id, one counts for each label.
     """
-    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    marked = bare(labels, id=id_col, y=label_col).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).distinct()
     n = marked.count()
     if n > fit_rows:
-        marked = marked.where(F.pmod(F.xxhash64("id", "y"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    rows = bare(docs, id=id_col, text=text_col).join(F.broadcast(marked), "id").select("text", "y")
+        marked = marked.where(F.pmod(F.xxhash64("id", "y"), F.lit(1 << 40)) < int((1 << 40) * fit_rows / n))
+    rows = bare(docs, id=id_col, text=text_col).join(F.broadcast(marked), "id").select("id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbuf.pieces(batch, "text"):
                 x = features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), part.column("y")], names=[*FEATURES, "y"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *(pa.array(c) for c in x.T)], names=["id", "y", *FEATURES])
 
-    got = rows.select("text", F.col("y").cast("double").alias("y")).mapInArrow(run, ", ".join(f"{c} double" for c in (*FEATURES, "y"))).toArrow()
+    ident = f"id {rows.schema['id'].dataType.simpleString()}, y double"
+    described = rows.withColumn("y", F.col("y").cast("double")).select("id", "text", "y").mapInArrow(run, ", ".join([ident, *(f"{c} double" for c in FEATURES)]))
+    got = described.groupBy("id", "y").agg(F.max(F.struct(*FEATURES)).alias("x")).select("x.*", "y").toArrow()  # about fit_rows
     table = np.column_stack([got.column(c).to_numpy() for c in (*FEATURES, "y")])
     table = table[np.lexsort(table.T)]  # sums don't depend on the order of rows
     return fit(table[:, :-1], table[:, -1], **options)
