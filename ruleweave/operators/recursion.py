@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import RoundLimit
+from ..errors import RoundLimit, RuleError
 
+#: Rows up to which what a round has found is sent to all executors, so that the rows so far stay where they are.
+SENT_ROWS = 100_000
+#: Values that one row is expanded to at most at once.
+SPAN = 1 << 16
 MOST_ROUNDS = 10_000
 #: Rounds after which the pieces of a relation are put together again, so that plans stay short.
 GATHER = 16
@@ -18,12 +24,45 @@ GATHER = 16
 Tables = Mapping[str, DataFrame]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own, but only if driver and executors are one machine."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuleError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ruleweave-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df computed and kept in spark.checkpoint.dir, where a lost executor loses nothing; in a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ruleweave-"))
-    return df.checkpoint()
+    """df computed once and kept in the shared folder, where a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
+    cached = df.persist()  # a checkpoint computes its rows twice otherwise
+    try:
+        return cached.checkpoint()
+    finally:
+        cached.unpersist()
+
+
+def freed(df: DataFrame) -> None:
+    """Deletes the files of a DataFrame that stored() gave."""
+    context, plan = df.sparkSession.sparkContext, df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.nodeName().startswith("LogicalRDD") or plan.nodeName() == "Scan ExistingRDD" else None
+    if file is not None and file.isDefined():
+        at = context._jvm.org.apache.hadoop.fs.Path(file.get())
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _fresh(found: DataFrame, whole: DataFrame) -> DataFrame:
+    """Different rows of found that whole doesn't have. Few rows are sent to whole's, which then aren't shuffled."""
+    found = stored(found.distinct())
+    if found.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        return stored(found.subtract(whole))
+    names = [f"_{i}" for i in range(len(found.columns))]
+    known = whole.toDF(*names).join(F.broadcast(found.toDF(*names)), names, "left_semi")
+    return stored(found.toDF(*names).join(F.broadcast(known), names, "left_anti").toDF(*found.columns))
 
 
 def fixpoints(bases: Tables, step: Callable[[Tables, Tables], Tables], most_rounds: int = MOST_ROUNDS) -> dict[str, DataFrame]:
@@ -31,15 +70,15 @@ def fixpoints(bases: Tables, step: Callable[[Tables, Tables], Tables], most_roun
 
     step(new, all): what follows from rows of which at least one is new; it gets the
     rows of the last round and all rows so far, by name, and returns rows by name.
-    Each round is one job per relation, on the new rows only. RoundLimit is raised
-    if rows still come after most_rounds.
+    A round works on the new rows only: few of them are sent to the rows so far, many
+    are shuffled against them. RoundLimit is raised if rows still come after most_rounds.
     """
     pieces = {n: [stored(df.distinct())] for n, df in bases.items()}
     new = {n: p[0] for n, p in pieces.items()}
     for _ in range(most_rounds):
         whole = {n: reduce(DataFrame.union, p) for n, p in pieces.items()}
         found = step(new, whole)
-        new = {n: stored(found[n].toDF(*df.columns).subtract(df)) if n in found else df.limit(0) for n, df in whole.items()}
+        new = {n: _fresh(found[n].toDF(*df.columns), df) if n in found else df.limit(0) for n, df in whole.items()}
         grown = [n for n, df in new.items() if not df.isEmpty()]
         if not grown:
             return whole
@@ -74,22 +113,38 @@ def counted(df: DataFrame, column: str, limit: Column | int | str, step: int = 1
     at, size = F.col(f"`{column}`"), abs(step)
     room = (end - at if step > 0 else at - end) + size - 1
     rounds = F.greatest(F.lit(0).cast("long"), F.call_function("div", room, F.lit(size).cast("long")))
-    return df.withColumn(column, F.explode(F.sequence(at, at + rounds * step, F.lit(step).cast("long")))).distinct()
+    # ranges of SPAN values first, dealt to all tasks
+    parts = df.withColumn("rounds left", rounds).withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("rounds left"), F.lit(SPAN)))))
+    begin = F.col("range") * SPAN
+    values = F.sequence(begin, F.least(begin + (SPAN - 1), F.col("rounds left")))
+    parts = parts.repartition(F.col("range"), at).withColumn("round", F.explode(values))
+    return parts.withColumn(column, at + F.col("round") * step).select(*df.columns).distinct()
 
 
 def added_up(spark: SparkSession, start: float, step: float, limit: float, name: str = "x") -> DataFrame:
     """The doubles of "x + step, while x < limit" (step above 0), each by adding to the one before, as rounds would.
 
-    Multiples of the step differ from repeated sums in their last bits, so the sums
-    are made one after another, in one task's running sum.
+    Multiples of the step differ from repeated sums in their last bits, so sums are
+    made in order: the driver keeps the one at the end of every SPAN of them, and tasks
+    add up the ranges between.
     """
-    n = 0
-    x = start
-    while x < limit:
-        if x + step == x:
+    begins, x = [], float(start)
+    while True:
+        if x < limit and x + step == x:
             raise RoundLimit(f"{x} + {step} doesn't grow")
-        x, n = x + step, n + 1
-    from pyspark.sql import Window
-
-    rows = spark.range(n + 1).select(F.when(F.col("id") == 0, F.lit(start)).otherwise(F.lit(step)).alias("part"), "id")
-    return rows.select(F.sum("part").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+        begins.append((x,))
+        sums = np.cumsum(np.concatenate(([x], np.full(SPAN, float(step)))))
+        if sums[-1] >= limit or sums[-1] == sums[-2]:
+            if sums[-1] < limit:
+                raise RoundLimit(f"{sums[-1]} + {step} doesn't grow")
+            break
+        x = float(sums[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                sums = np.cumsum(np.concatenate(([x], np.full(SPAN - 1, float(step)))))
+                below = np.concatenate(([True], sums[:-1] < limit))  # a value comes from one below the limit
+                yield pa.RecordBatch.from_arrays([pa.array(sums[below])], names=[name])
+
+    return spark.createDataFrame(begins, f"`{name}` double").mapInArrow(run, f"`{name}` double")

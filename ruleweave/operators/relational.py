@@ -30,16 +30,36 @@ def renamed(df: DataFrame, *names: str) -> DataFrame:
 
 
 def meet(left: DataFrame, right: DataFrame, *where: Column | str) -> DataFrame:
-    """Rows that agree on all shared columns and meet the conditions (equal, range, any comparison)."""
+    """Rows that agree on all shared columns and meet the conditions (equal, range, any comparison).
+
+    Without anything that Spark can hash or sort by, it compares all pairs; then one side must not exceed PRODUCT_ROWS.
+    """
     keys = [c for c in left.columns if c in right.columns]
     conditions = [F.expr(c) if isinstance(c, str) else c for c in where]
     if not keys and not conditions:
         raise Unconnected("no shared column and no condition; see product()")
     if not keys:
-        return left.join(right, reduce(Column.__and__, conditions))
+        made = left.join(right, reduce(Column.__and__, conditions))
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        if ("NestedLoop" in plan or "Cartesian" in plan) and all(side.limit(PRODUCT_ROWS + 1).count() > PRODUCT_ROWS for side in (right, left)):
+            raise Unconnected(f"no equal columns, and both sides have more than {PRODUCT_ROWS} rows; see within()")
+        return made
     return reduce(DataFrame.where, conditions, left.join(right, keys))
 
 
+def within(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Rows that agree on all shared columns, where right's value is from left's low to left's high.
+
+    The range join goes by buckets of `width`: a row of left is sent to all buckets it
+    reaches (few, if width is about the usual high - low), a row of right to its own.
+    """
+    keys = [c for c in left.columns if c in right.columns]
+    bucket = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+    reach = left.where(F.col(low) <= F.col(high)).withColumn("its bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    made = reach.join(right.withColumn("its bucket", bucket(value)), [*keys, "its bucket"]).drop("its bucket")
+    return made.where((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
+
+
 def product(left: DataFrame, right: DataFrame, most: int = PRODUCT_ROWS) -> DataFrame:
     """All pairs; right is sent to all executors and must not exceed `most` rows."""
     if right.limit(most + 1).count() > most:

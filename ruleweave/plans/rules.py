@@ -14,9 +14,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import NoSuchTable, NotStratified, RuleError, TableExists, TypeMismatch, UnsafeRule, WrongArity
+from ..errors import BadLocation, NoSuchTable, NotStratified, RuleError, TableExists, TypeMismatch, UnsafeRule, WrongArity
 from ..functions.scalar import printed
-from ..operators.recursion import MOST_ROUNDS, fixpoints, stored
+from ..operators.located import local, outbox
+from ..operators.recursion import MOST_ROUNDS, fixpoints, freed, stored
 from ..sources.durable import DurableTable
 from ..sources.tables import facts, relation, schema, ticks
 
@@ -35,9 +36,11 @@ class Rule:
 class RuleBook:
     """Named tables, the facts put into them, and rules that derive more rows."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, most_rounds: int = MOST_ROUNDS):
-        """folder: where durable tables live."""
-        self.spark, self.folder, self.most_rounds = spark, folder, most_rounds
+    def __init__(self, spark: SparkSession, folder: str | None = None, most_rounds: int = MOST_ROUNDS, here: str | None = None):
+        """folder: where durable tables live; here: this node's location, tcp:host:port."""
+        self.spark, self.folder, self.most_rounds, self.here = spark, folder, most_rounds, here
+        self.locations: dict[str, str] = {}
+        self.held: list[DataFrame] = []
         self.columns: dict[str, dict[str, str]] = {}
         self.base: dict[str, DataFrame] = {}
         self.durable: dict[str, DurableTable] = {}
@@ -50,14 +53,22 @@ class RuleBook:
 
     # what is there
 
-    def define(self, name: str, columns: dict[str, str], durable: bool = False) -> None:
-        """A table of named, typed columns (bool, char, int, double, string). durable: its facts outlive the session."""
+    def define(self, name: str, columns: dict[str, str], durable: bool = False, location: str | None = None) -> None:
+        """A table of named, typed columns (bool, char, int, double, string).
+
+        durable: its facts outlive the session. location: a string column that says
+        where a row belongs; rows of other nodes are no rows here, but in outbox().
+        """
         if name in self.columns:
             raise TableExists(name)
         made = schema(columns)
         if durable and self.folder is None:
             raise RuleError(f"{name}: no folder for durable tables")
+        if location is not None and (columns.get(location) != "string" or self.here is None):
+            raise BadLocation(f"{name}.{location}: a location is a string column, in a book that has one itself")
         self.columns[name] = dict(columns)
+        if location is not None:
+            self.locations[name] = location
         if durable:
             self.durable[name] = DurableTable(self.spark, f"{self.folder}/{name}", made)
         self.base[name] = self.durable[name].read() if durable else self.spark.createDataFrame([], made)
@@ -98,9 +109,19 @@ class RuleBook:
             self.durable[name].insert(rows)
             self.base[name] = self.durable[name].read()
         else:
-            self.base[name] = stored(self.base[name].union(rows).distinct())
+            self.base[name] = self._held(self.base[name].union(rows).distinct())
         self.stale.add(name)
 
+    def _held(self, df: DataFrame) -> DataFrame:
+        self.held.append(stored(df))
+        return self.held[-1]
+
+    def close(self) -> None:
+        """Deletes what the book keeps in the shared folder; durable tables stay. The book can't be used any more."""
+        for df in self.held:
+            freed(df)
+        self.held, self.base, self.results, self.columns = [], {}, {}, {}
+
     def advance(self, now_us: int) -> None:
         """Moves the clock; every deadline passed becomes a row of its timer's table."""
         for name, (period, start) in self.timers.items():
@@ -161,12 +182,13 @@ class RuleBook:
         if not self.stale:
             return
         results, changed = dict(self.results), set(self.stale)
+        here = lambda rows: {t: local(df, self.locations[t], self.here) if t in self.locations else df for t, df in rows.items()}
         for group in self._strata(self.rules):
             rules = [r for r in self.rules if r.head in group]
             if not changed & {*group, *(t for r in rules for t in (*r.reads.values(), *r.whole.values()))}:
                 continue
             changed |= set(group)
-            results |= self._computed(group, rules, results)
+            results |= self._computed(group, rules, here(results))
         for name, call in self.callbacks:
             if name in changed:
                 old = self.results.get(name, results[name].limit(0))
@@ -182,7 +204,7 @@ class RuleBook:
             parts = [self.base[t], *(self._fitting(t, r.function(**{p: results[u] for p, u in (r.reads | r.whole).items()})) for r in rules if r.head == t and r not in inner)]
             bases[t] = reduce(DataFrame.union, parts)
         if not inner:
-            return {t: stored(df.distinct()) for t, df in bases.items()}
+            return {t: self._held(df.distinct()) for t, df in bases.items()}
 
         def step(new: Mapping[str, DataFrame], whole: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
             found: dict[str, list[DataFrame]] = {}
@@ -193,13 +215,21 @@ class RuleBook:
                         found.setdefault(r.head, []).append(self._fitting(r.head, r.function(**(given | {p: new[t]}))))
             return {t: reduce(DataFrame.union, x) for t, x in found.items()}
 
-        return fixpoints(bases, step, self.most_rounds)
+        return {t: self._held(df) for t, df in fixpoints(bases, step, self.most_rounds).items()}
 
     def table(self, name: str) -> DataFrame:
-        """All rows of a table, derived ones included."""
+        """All rows of a table, derived ones included; of a table with a location, those that belong here."""
         self._known(name)
         self.refresh()
-        return self.results[name]
+        found = self.results[name]
+        return local(found, self.locations[name], self.here) if name in self.locations else found
+
+    def outbox(self, name: str) -> DataFrame:
+        """Rows of a table with a location that belong to other nodes: for the caller to write where those read."""
+        if self._known(name) not in self.locations:
+            raise BadLocation(f"{name} has no location")
+        self.refresh()
+        return outbox(self.results[name], self.locations[name], self.here)
 
     def dump(self, name: str) -> str:
         """A table as text, one row a line, in byte order: for looking at results, as it brings them to the driver."""

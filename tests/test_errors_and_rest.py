@@ -166,16 +166,21 @@ def test_locations(spark):
             bad()
     t = facts(spark, {"at": "string", "x": "int"}, [("tcp:a:1", 1), ("tcp:b:2", 2)])
     assert rows(located.local(t, "at", "tcp:a:1")) == [("tcp:a:1", 1)] and rows(located.outbox(t, "at", "tcp:a:1")) == [("tcp:b:2", 2)]
-    assert rows(located.shipped(t, "at", F.lit(located.location("c", 3)))) == [("tcp:c:3", 1), ("tcp:c:3", 2)]
+    b = RuleBook(spark)
+    for bad in (lambda: b.define("t", {"at": "string"}, location="at"), lambda: RuleBook(spark, here="tcp:a:1").define("t", {"at": "int"}, location="at")):
+        with pytest.raises(E.BadLocation):
+            bad()
 
 
 def test_stream_into_rules(spark, tmp_path):
     from ruleweave.streaming.live import feed
 
     spark.range(5).toDF("a").write.parquet(str(tmp_path / "in"))
-    b = RuleBook(spark)
+    b = RuleBook(spark, str(tmp_path / "durable"))
     for t in ("seen", "even"):
-        b.define(t, {"a": "int"})
+        b.define(t, {"a": "int"}, durable=t == "seen")
+    with pytest.raises(E.RuleError):
+        feed(spark.readStream.schema("a long").parquet(str(tmp_path / "in")), b, "even", str(tmp_path / "mark"))
     b.rule("even", lambda seen: seen.where("a % 2 = 0"), ["seen"])
     told = []
     b.on_change("even", lambda name, more, less: told.append(more.count()))
@@ -183,6 +188,80 @@ def test_stream_into_rules(spark, tmp_path):
     assert b.dump("even") == "0\n2\n4" and told == [3]
 
 
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from ruleweave.streaming.live import feed
+
+    for k in range(2):  # a session each, with one file more
+        spark.range(3 * k, 3 * k + 3).toDF("a").write.mode("append").parquet(str(tmp_path / "in"))
+        b = RuleBook(spark, str(tmp_path / "durable"))
+        b.define("seen", {"a": "int"}, durable=True)
+        feed(spark.readStream.schema("a long").parquet(str(tmp_path / "in")), b, "seen", str(tmp_path / "mark"), availableNow=True).awaitTermination(120)
+    assert rows(b.table("seen")) == [(k,) for k in range(6)]
+
+
+def test_live_timer_keeps_to_the_wall_clock(spark, tmp_path):
+    import time
+
+    from ruleweave.streaming.live import live_timer
+
+    def deadlines(period_ms, seconds):
+        name = f"ticks{period_ms}"
+        query = live_timer(spark, period_ms).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        time.sleep(seconds)
+        query.stop()
+        return sorted(r.deadline for r in spark.table(name).collect())
+
+    began = time.time()
+    found = deadlines(1000, 8)
+    assert 2 <= len(found) == len(set(found)) <= 9 and all(d % 1_000_000 == 0 and began - 1 <= d / 1e6 <= time.time() for d in found)
+    assert len(deadlines(3_600_000, 4)) <= 1
+    with pytest.raises(E.RuleError):
+        live_timer(spark, 0)
+
+
+def test_what_a_book_keeps_is_deleted(spark, tmp_path):
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(folder.removeprefix("file:")) for f in names}
+    before = files()
+    b = RuleBook(spark)
+    b.define("x", {"a": "int"})
+    b.define("y", {"a": "int"})
+    b.rule("y", lambda x: x, ["x"])
+    b.add("x", [(1,), (2,)])
+    assert b.dump("y") == "1\n2" and files() > before
+    b.close()
+    assert not files() - before
+
+
+def test_durable_batches(spark, tmp_path):
+    t = DurableTable(spark, str(tmp_path / "t"), schema({"a": "int"}))
+    for part in ([(1,), (2,)], [(2,), (3,)], []):
+        t.insert(facts(spark, {"a": "int"}, part))
+    (tmp_path / "t" / "_new-broken").mkdir()  # a batch that was not finished
+    assert rows(t.read()) == [(1,), (2,), (3,)] and len(t.batches()) == 3
+    t.compact()
+    assert rows(t.read()) == [(1,), (2,), (3,)] and len(t.batches()) == 1
+
+
+def test_large_joins_need_an_equal_column(spark):
+    a, b = spark.range(150_000).toDF("x"), spark.range(150_000).toDF("y")
+    with pytest.raises(E.Unconnected):
+        meet(a, b, "x < y")
+    assert meet(a, b.limit(2), "x < y").count() == 1 and meet(a, b, "x = y").count() == 150_000
+
+
+def test_counting_from_far_and_for_long(spark):
+    got = counted(spark.range(1).selectExpr("id AS x"), "x", 200_000)
+    assert got.agg(F.count("*"), F.sum("x")).first() == (200_001, 200_000 * 200_001 // 2)
+    sums = added_up(spark, 0.0, 0.1, 20_000.0)
+    x, n = 0.0, 1
+    while x < 20_000.0:
+        x, n = x + 0.1, n + 1
+    assert sums.agg(F.count("*"), F.max("x")).first() == (n, x)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from ruleweave.plans.__main__ import main
 
