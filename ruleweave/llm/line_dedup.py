@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 from .components import components
-from .shared import bare, dropped, kept, matching, small
+from .shared import bare, dropped, kept, matching, parted, small
 from .shingles import binaries
 
 #: Blocks of a signature, of 16 bits each.
@@ -40,8 +40,10 @@ _PAIRS = list(combinations(range(BLOCKS), 2))
 #: Bits of a word's hash that are sorted, below its line's and its block's number; lines that are voted on together.
 _HASH_BITS, _VOTING = 41, 1 << 19
 
-LINES = "a long, b long, sim long, rest long"
-
+#: Hashed pairs of characters that are counted; an edit changes two of a line's pairs at most.
+SLOTS = 256
+#: Words on both sides that are looked at for where two lines go on alike.
+AHEAD = 16
 
 def _lines(raw: np.ndarray, at: np.ndarray) -> tuple[textbuf.Words, textbuf.Words, np.ndarray]:
     """Lines that are not empty, their words, and the first word of each line (then the end)."""
@@ -50,10 +52,10 @@ def _lines(raw: np.ndarray, at: np.ndarray) -> tuple[textbuf.Words, textbuf.Word
     return lines, words, np.searchsorted(words.starts, np.append(lines.starts, len(raw) + 1))
 
 
-def _line_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each line's words in order."""
+def _line_hashes(hashes: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each line's words in order; other seeds give independent ones."""
     place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first)) if len(hashes) else np.zeros(0, np.int64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(textbuf.mix(hashes + textbuf.mix(place.astype(np.uint64))), dtype=np.uint64)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(textbuf.mix(hashes + textbuf.mix(place.astype(np.uint64) + np.uint64(seed << 48))), dtype=np.uint64)))
     return (total[first[1:]] - total[first[:-1]]).view(np.int64)
 
 
@@ -106,12 +108,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             good = np.flatnonzero(np.diff(first) > 0)
             number = np.arange(len(owner)) - lines.first[owner]
             mine = pa.array(owner[good])
-            columns = (number.astype(np.int32), _line_hashes(hashes, first), _line_hashes(words.hashes(1), first), *_packed(*simhash(hashes, first)))
+            columns = (number.astype(np.int32), _line_hashes(hashes, first), _line_hashes(hashes, first, 1), *_packed(*simhash(hashes, first)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(mine), part.column("text_hash").take(mine), *(pa.array(c[good]) for c in columns)], names=["doc_id", "text_hash", "number", "a", "b", "sim", "rest"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different lines with their signatures and normalised texts."""
+    """The different lines of documents, with their normalised texts."""
     for batch in batches:
         for part in textbuf.pieces(batch, "text"):
             _, words, first = _lines(*textbuf.as_texts(part.column("text")))
@@ -121,8 +123,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once = once[np.diff(first)[once] > 0]
             body, at = textbuf.spaced(words)
             norm = pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(at[first].astype(np.int64)), pa.py_buffer(body))
-            columns = (a, _line_hashes(words.hashes(1), first), *_packed(*simhash(hashes, first)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[once]) for c in columns), pc.utf8_rtrim(norm.take(pa.array(once)).cast(pa.string()), " ")], names=["a", "b", "sim", "rest", "norm"])
+            norm = pc.utf8_rtrim(norm.take(pa.array(once)).cast(pa.string()), " ")
+            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(_line_hashes(hashes, first, 1)[once]), norm], names=["a", "b", "norm"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +180,20 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _pairs_of_letters(norm: list[str]) -> np.ndarray:
+    """How often each text has each hashed pair of characters, up to 255: texts x SLOTS."""
+    out = np.zeros((len(norm), SLOTS), np.uint8)
+    for i in range(0, len(norm), 1024):
+        part = norm[i : i + 1024]
+        codes = np.frombuffer("".join(part).encode("utf-32-le"), "<u4")
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        inner = owner[1:] == owner[:-1]
+        slot = ((codes[:-1] * np.uint32(0x9E3779B1) + codes[1:]) * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+        counts = np.bincount(owner[1:][inner] * SLOTS + slot[inner], minlength=len(part) * SLOTS)
+        out[i : i + 1024] = np.minimum(counts, 255).reshape(-1, SLOTS)
+    return out
+
+
 def _links(similarity: float):
     """Verified links of blocks; lines that are already connected in what is at hand need no more."""
 
@@ -189,8 +205,9 @@ def _links(similarity: float):
             values, good = _unpacked(table.column("sim").to_numpy(), table.column("rest").to_numpy())
             key = table.column("key").to_numpy().view(np.uint64)
             here = (textbuf.mix(values | np.arange(len(_PAIRS), dtype=np.uint64) << np.uint64(32)) == key[:, None]).argmax(1)
-            norm, nodes = table.column("norm"), np.column_stack((table.column("a").to_numpy(), table.column("b").to_numpy()))
+            norm, nodes = table.column("norm").to_pylist(), np.column_stack((table.column("a").to_numpy(), table.column("b").to_numpy()))
             _, line = np.unique(nodes, axis=0, return_inverse=True)
+            letters, most = _pairs_of_letters(norm), _edits(similarity, size)
             top, out = np.arange(int(line.max(initial=-1)) + 1), []
 
             def root(n: int, top: np.ndarray = top) -> int:
@@ -212,11 +229,16 @@ def _links(similarity: float):
                 able = able[earlier.argmax(1) == here[able]]
                 while (up := top[top]).tobytes() != top.tobytes():
                     top[:] = up
-                for i in able[top[line[able]] != top[line[able + d]]].tolist():
-                    a, b = root(line[i]), root(line[i + d])
-                    if a != b and alike(norm[i].as_py(), norm[i + d].as_py(), similarity):
-                        top[max(a, b)] = min(a, b)
-                        out.append((i, i + d))
+                able = able[top[line[able]] != top[line[able + d]]]
+                for k in range(0, len(able), 2048):
+                    some = able[k : k + 2048]
+                    apart = letters[some].astype(np.int16) - letters[some + d]
+                    least = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
+                    for i in some[least <= 2 * most[some + d]].tolist():
+                        a, b = root(line[i]), root(line[i + d])
+                        if a != b and alike(norm[i], norm[i + d], similarity):
+                            top[max(a, b)] = min(a, b)
+                            out.append((i, i + d))
             ends = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([binaries(nodes[ends[:, 0]]), binaries(nodes[ends[:, 1]])], names=["a", "b"])
 
@@ -230,16 +252,27 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for two in columns for c in two], names=["a", "b", "to_a", "to_b"])
 
 
-def _word_edits(a: list[str], b: list[str]) -> int:
-    """Edits that turn one line into another word by word, outside the words both begin and end with: a bound from above."""
-    if len(a) == len(b):
-        return sum(max(len(x), len(y)) for x, y in zip(a, b, strict=True) if x != y)
-    short, i, j = min(len(a), len(b)), 0, 0
-    while i < short and a[i] == b[i]:
-        i += 1
-    while j < short - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    return max(sum(map(len, x[i : len(x) - j])) + len(x) - j - i for x in (a, b))
+def _word_edits(a: list[str], b: list[str], most: int) -> int:
+    """Edits that turn one line into another word by word: a bound from above; more than most, if it gives up.
+
+    Where words differ, both lines go on at the nearest place where two words (or the last ones) are the same again.
+    """
+    i = j = total = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for far in range(1, AHEAD):
+            x = next((x for x in range(far + 1) if a[i + x : i + x + 2] == b[j + far - x : j + far - x + 2]), None)
+            if x is not None:
+                break
+        else:
+            return most + 1
+        total += max(sum(map(len, a[i : i + x])) + x, sum(map(len, b[j : j + far - x])) + far - x)
+        if total > most:
+            return total
+        i, j = i + x, j + far - x
+    return total + max(sum(map(len, a[i:])) + len(a) - i, sum(map(len, b[j:])) + len(b) - j)
 
 
 def _edits(similarity: float, longest: np.ndarray) -> np.ndarray:
@@ -250,7 +283,7 @@ def _edits(similarity: float, longest: np.ndarray) -> np.ndarray:
 def alike(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - edits / the longer one's characters is at least similarity."""
     most = int(_edits(similarity, np.asarray(max(len(a), len(b)))))
-    return _word_edits(a.split(" "), b.split(" ")) <= most or distance(a, b, most) <= most
+    return _word_edits(a.split(" "), b.split(" "), most) <= most or distance(a, b, most) <= most
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -312,18 +345,19 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_groups(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, labels): every line with words, by document; the line that stands for each line linked with others. texts: doc_id, text, text_hash."""
-    seen = kept(texts.mapInArrow(_occurrences, f"doc_id long, text_hash long, number int, {LINES}"), "lines")
-    lines = kept(seen.groupBy("a", "b").agg(F.first("sim").alias("sim"), F.first("rest").alias("rest"), F.min("text_hash").alias("holder")), "different-lines")
+    """(occurrences, groups): every line with words, by document; for each line that stands twice or is linked, the line that stands for its group.
+
+    texts: doc_id, text, text_hash.
+    """
+    seen = kept(texts.mapInArrow(_occurrences, "doc_id long, text_hash long, number int, a long, b long, sim long, rest long"), "lines")
+    lines = kept(seen.groupBy("a", "b").agg(F.first("sim").alias("sim"), F.first("rest").alias("rest"), F.count("*").alias("n")), "different-lines")
     keys = lines.select("a", "sim", "rest").mapInArrow(_keys, "key long, a long")
     near = kept(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_together, "key long, a long"), "near-lines")
     needed = kept(near.select("a").distinct(), "needed-lines")
-    # texts of these lines alone, each from one document that holds it
-    holders = kept(matching(lines, needed, "a").select(F.col("holder").alias("text_hash")).distinct(), "holders")
-    norms = matching(texts, holders, "text_hash").select("text").mapInArrow(_texts, f"{LINES}, norm string")
-    norms = matching(norms, needed, "a").groupBy("a", "b").agg(F.first("sim").alias("sim"), F.first("rest").alias("rest"), F.min("norm").alias("norm"))
+    norms = matching(texts.select("text").mapInArrow(_texts, "a long, b long, norm string"), needed, "a").groupBy("a", "b").agg(F.min("norm").alias("norm"))
+    norms = norms.join(matching(lines, needed, "a").select("a", "b", "sim", "rest"), ["a", "b"])
     norms = kept(norms.withColumn("size", F.length("norm")), "norms")
-    dropped(lines, needed, holders)
+    dropped(needed)
     # a large bucket: every pair of its parts is compared by itself
     sizes = near.join(norms.select("a", F.octet_length("norm").alias("bytes")), "a").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / BUCKET_ROWS), F.ceil(F.col("bytes") / BUCKET_BYTES)).cast("int")
@@ -334,8 +368,10 @@ def line_groups(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     links = kept(links, "line-links")
     dropped(near, norms, large)
     labels = kept(components(links).mapInArrow(_halves, "a long, b long, to_a long, to_b long"), "line-labels")
-    dropped(links)
-    return seen, labels
+    several = lines.where("n > 1").select("a", "b").join(small(labels), ["a", "b"], "left_anti")
+    groups = kept(labels.union(several.select("a", "b", "a", "b")), "line-groups")
+    dropped(links, labels, lines)
+    return seen, groups
 
 
 def deduplicated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -351,13 +387,17 @@ def deduplicated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     columns are ignored.
     """
     texts = _texts_of(docs, id_col, text_col)
-    seen, labels = line_groups(texts, similarity)
+    seen, groups = line_groups(texts, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "number")
-    named = seen.select("a", "b", place.alias("place")).join(small(labels), ["a", "b"], "left")
-    named = kept(named.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "place"), "named-lines")
-    best = kept(named.groupBy("a", "b").agg(F.min("place").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "best-lines")
-    gone = named.join(best, ["a", "b"]).where(F.col("place") != F.col("best")).groupBy("place.doc_id", "place.text_hash").agg(F.sort_array(F.collect_set("place.number")).alias("gone"))
-    gone = kept(gone.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "gone"), "gone-lines")
-    dropped(seen, labels, named, best)
-    rows = texts.join(gone, texts["doc_id"].eqNullSafe(F.col("its_id")) & (texts["text_hash"] == F.col("its_hash")), "left")
-    return rows.select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")
+    several, _ = parted(seen.select("a", "b", "doc_id", "text_hash", "number"), groups, "a")
+    named = kept(several.join(groups, ["a", "b"]).select("to_a", "to_b", place.alias("place")), "named-lines")
+    dropped(seen, groups)
+    best = kept(named.groupBy("to_a", "to_b").agg(F.min("place").alias("best")), "best-lines")
+    gone = named.join(best, ["to_a", "to_b"]).where(F.col("place") != F.col("best")).groupBy("place.doc_id", "place.text_hash").agg(F.sort_array(F.collect_set("place.number")).alias("gone"))
+    gone = kept(gone, "gone-lines")
+    dropped(named, best)
+    some, others = parted(texts, gone, "text_hash")
+    gone = gone.toDF("its_id", "its_hash", "gone")
+    some = some.join(gone, some["doc_id"].eqNullSafe(gone["its_id"]) & (some["text_hash"] == gone["its_hash"]), "left")
+    rows = some.select("doc_id", "text", "gone").union(others.select("doc_id", "text", F.lit(None).cast("array<int>")))
+    return rows.mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to so many rows of a few numbers each.
 BROADCAST_ROWS = 100_000
 BATCH_ROWS = 2500
+#: Bits by which rows are screened before a shuffle: a table of a million rows at most, 64 bits each.
+KEY_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,15 +44,33 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _flagged(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """df with a last column `likely`: true where the column is in keys, and by chance where its bit is that of another key.
+
+    The bits of all keys, KEY_BITS at most, are broadcast; df is not shuffled.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(KEY_BITS))
+    bits = keys.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("bits at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("its bits"))
+    df_ = df.withColumn("bit", bit)
+    df_ = df_.join(F.broadcast(bits), F.expr("cast(bit div 64 as int)") == F.col("bits at"), "left")
+    return df_.select(*df.columns, F.coalesce(F.expr("getbit(`its bits`, cast(bit % 64 as int)) = 1"), F.lit(False)).alias("likely"))
+
+
 def matching(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose column is in keys: these are broadcast up to BROADCAST_ROWS, else hashed part by part, without sorting df."""
+    """Rows of df whose column is in keys: screened by the keys' bits, then hashed, or not shuffled at all if keys are few."""
     few = small(keys)
-    return df.join(few if few is not keys else keys.hint("shuffle_hash"), column, "left_semi")
+    return _flagged(df, keys, column).where("likely").drop("likely").join(few if few is not keys else keys.hint("shuffle_hash"), column, "left_semi")
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def parted(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may match, rows that don't) of df by a column of keys; neither is shuffled."""
+    flagged = _flagged(df, keys, column)
+    return flagged.where("likely").drop("likely"), flagged.where("NOT likely").drop("likely")
 
 
 def in_small_batches(spark: SparkSession) -> None:

@@ -307,7 +307,7 @@ def test_alike_equals_the_edit_distance():
         a, b = " ".join(a), " ".join(b)
         most = int(0.2 * max(len(a), len(b)) + 1e-9)
         assert line_dedup.alike(a, b, 0.8) == (line_dedup.distance(a, b, most) <= most)
-        assert line_dedup._word_edits(a.split(" "), b.split(" ")) >= line_dedup.distance(a, b, 99)
+        assert line_dedup._word_edits(a.split(" "), b.split(" "), 99) >= line_dedup.distance(a, b, 99)
 
 
 # mixture
@@ -377,6 +377,74 @@ def test_languages_of_held_out_rows(spark, docs):
     assert len(rows) > 20 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.95 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_grams_and_nearest_centroids_equal_plain_ones(texts):
+    """Counts gram by gram, and cosines number by number."""
+    some = [*list(texts.values())[:12], "", "a", "Ab c", "日本 x", None, "  1 2 "]
+    raw, at = textbuf.as_texts(pa.array(some))
+    counts = language.gram_counts(raw, at)
+
+    def slot(gram):
+        code = 0
+        for b, odd in zip(gram, language._ODD.tolist()):
+            code = (code + (b + 1) * odd) % 2**32
+        code = (code ^ code >> 15) * 2246822507 % 2**32
+        return (code >> 8) % language.DIMS
+
+    for text, got in zip(some, counts):
+        body, want = (text or "").encode().translate(language._LETTERS), Counter()
+        for n in (1, 2, 3):
+            for i in range(len(body) - n + 1):
+                gram = body[i : i + n]
+                blank = [b == 32 for b in gram]
+                if not (blank[0] if n == 1 else all(blank) if n == 2 else blank[1]):
+                    want[slot(gram)] += 1
+        assert {k: v for k, v in enumerate(got.tolist()) if v} == dict(want)
+    rng = np.random.default_rng(2)
+    model = language.Model(["a", "b"], rng.random(language.DIMS).astype(np.float32), rng.random((5, language.DIMS)).astype(np.float32), np.array([0, 0, 1, 1, 1]), np.zeros(5))
+    model.centroids /= np.linalg.norm(model.centroids, axis=1, keepdims=True)
+    best, cosine = model.nearest(counts)
+    for k, row in enumerate(counts):
+        x = [math.log1p(c) * float(w) for c, w in zip(row.tolist(), model.idf)]
+        size = math.sqrt(sum(v * v for v in x)) or 1
+        dots = [sum(v * float(c) for v, c in zip(x, centroid)) / size for centroid in model.centroids]
+        assert abs(max(dots) - cosine[k]) < 1e-4 and dots[best[k]] > max(dots) - 1e-5
+
+
+def test_features_and_scores_equal_plain_ones(texts):
+    some = [*list(texts.values())[:25], "", None, "ONE! two\n\nONE! two", "é 1 | 2"]
+    x = quality.features(pa.array(some))
+    names = quality.FEATURES
+    for text, row in zip(some, x):
+        body = (text or "").encode()
+        n, of = max(1, len(body)), lambda cs: sum(b in cs for b in body)  # noqa: B023
+        words = [w for w in re.split(rb"[ \t-\r]+", body.lower() if body.isascii() else lower(text).encode()) if w]
+        lines = [w for w in lower(text).encode().split(b"\n") if w.strip(b"\n")] if text else []
+        want = {"log_bytes": math.log1p(len(body)), "digit": of(b"0123456789") / n, "line": body.count(b"\n") / n, "loud": body.count(b"!") / n, "beyond_ascii": sum(b > 127 for b in body) / n,
+                "upper": of(range(65, 91)) / max(1, of(range(65, 91)) + of(range(97, 123))), "word_length": sum(map(len, words)) / max(1, len(words)), "distinct_words": len(set(words)) / max(1, len(words)),
+                "repeated_lines": 1 - len(set(lines)) / len(lines) if lines else 0, "log_longest_word": math.log1p(max(map(len, words), default=0)), "words_per_line": math.log1p(len(words) / max(1, len(lines)))}
+        for name, value in want.items():
+            assert abs(row[names.index(name)] - value) < 1e-9, (name, text)
+    rng = np.random.default_rng(1)
+    model = quality.fit(rng.random((500, 4)), rng.integers(0, 2, 500).astype(float), rounds=5)
+    for row in (rows := rng.random((40, 4))):
+        total = model.bias + sum(float(t[sum(c <= v for c in cuts)]) for cuts, t, v in zip(model.cuts, model.tables, row))
+        for (a, b), t in zip(model.pairs, model.pair_tables):
+            total += float(t[sum(c <= row[a] for c in model.pair_cuts[a]), sum(c <= row[b] for c in model.pair_cuts[b])])
+        assert abs(1 / (1 + math.exp(-total)) - model.score(row[None])[0]) < 1e-9
+    assert len(model.score(rows)) == 40
+
+
+def test_repeated_ids_and_labels_are_bounded(spark):
+    """A document that stands very often under one id and several labels fits as one row for each label."""
+    docs = spark.range(4000).selectExpr("cast(1 as long) doc_id", "concat('text number ', id % 3) text").union(spark.range(2, 40).selectExpr("id", "repeat('good words. ', id % 7)"))
+    labels = spark.range(2000).selectExpr("cast(1 as long) doc_id", "cast(id % 2 as int) quality").union(spark.range(2, 40).selectExpr("id", "cast(id % 2 as int)"))
+    sizes, fit = [], quality.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "fit", lambda x, y, **k: sizes.append(len(x)) or fit(x, y, rounds=2))
+        quality.fit_quality(docs, labels)
+    assert sizes == [40]
+
+
 def test_languages_of_odd_tables(spark, odd, empty, docs):
     model = language.fit_languages(docs)
     rows = language.identify_language(odd, model).collect()
@@ -420,14 +488,15 @@ def test_quality_of_odd_tables(spark, odd, empty, docs):
 # vectors
 
 
-def test_top_k_equals_a_full_search(spark):
+@pytest.mark.parametrize("shard_rows", [40, 6, 9999])
+def test_top_k_equals_a_full_search(spark, shard_rows):
     rng = np.random.default_rng(4)
     x = rng.integers(-9, 9, (300, 5))
     x[20:60] = x[20]  # ties
     rows = [(i, x[i].tolist()) for i in range(300)] + [(None, [1, 2, 3, 4, 5]), (900, None), (901, [1, None, 2, 3, 4]), (902, [5, 5]), (903, [6, 6]), (904, [])]
     vectors = spark.createDataFrame(rows, "vec_id long, vector array<long>")
     queries = vectors.where("vec_id % 20 = 0 or vec_id in (902, 904)")
-    got = exact_search.exact_top_k(vectors, queries.union(queries), 5, shard_rows=40, query_rows=6).collect()
+    got = exact_search.exact_top_k(vectors, queries.union(queries), 5, shard_rows=shard_rows).collect()
     found = defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         found[r.query_id].append((r.rank, r.vec_id, r.score))

@@ -7,8 +7,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ruleweave.llm import license_scan, pseudonyms, textbuf, token_binary
 
@@ -63,7 +65,7 @@ def test_token_files(odd, empty, spark):
     index = token_binary.read_token_index(spark, path := token_binary.write_token_blocks(odd, block_ids=50))
     rows = sorted(index.collect(), key=lambda r: r.start)
     encoder = token_binary.WordEncoder(token_binary.tokenizer_path())
-    source = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    source = sorted(odd.withColumn("hash", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash))
     start = 0
     for row, want in zip(rows, source, strict=True):
         ids = encoder.whole([want.text or ""])[0] + [2]
@@ -73,6 +75,44 @@ def test_token_files(odd, empty, spark):
     assert token_binary.read_token_index(spark, token_binary.write_token_blocks(empty)).collect() == []
 
 
+def test_many_rows_of_one_id_are_dealt_out(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('word ', id % 2) text")
+    index = token_binary.read_token_index(spark, path := token_binary.write_token_blocks(docs)).orderBy("start").collect()
+    assert [r.start for r in index] == list(np.cumsum([0, *(r.n_tokens for r in index)])[:-1]) and len(index) == 3000
+    assert spark.read.parquet(path).select("shard").distinct().count() > 1
+
+
+def test_words_that_imitate_one_another(spark):
+    """Words that a polynomial in any odd number can't tell apart."""
+    from ruleweave.llm import decontaminate, near_dedup
+
+    word = "a"
+    while len(word) < 8192:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048, 4096, 8192):
+        hashes = textbuf.words(*textbuf.as_texts(pa.array([word[:n], other[:n]])), textbuf.ALNUM).hashes()
+        assert hashes[0] != hashes[1]
+    encoder = token_binary.WordEncoder(token_binary.tokenizer_path())
+    ids, lengths = encoder.ids(*textbuf.as_texts(pa.array([word, other])), 2)
+    assert [x.tolist() for x in np.split(ids, lengths[:1])] == [x + [2] for x in encoder.whole([word, other])]
+    docs = spark.createDataFrame([(1, word), (2, other)], "doc_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.contamination(docs, docs.where("doc_id = 1").toDF("item_id", "text")).collect()} == {1: True, 2: False}
+    assert all(r.kept for r in near_dedup.near_duplicates(docs, words=3).collect())
+
+
+def test_other_tokenizers_are_not_cut(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    spanning = Tokenizer(models.BPE({c: i for i, c in enumerate([chr(c) for c in range(32, 127)])}, []))
+    spanning.pre_tokenizer = pre_tokenizers.Split("x", "isolated")
+    spanning.save(str(tmp_path / "t.json"))
+    encoder = token_binary.WordEncoder(str(tmp_path / "t.json"))
+    texts = ["a b", "", "x y  z"]
+    ids, lengths = encoder.ids(*textbuf.as_texts(pa.array(texts)), 7)
+    assert not encoder.cuts and [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [x + [7] for x in encoder.whole(texts)]
+
+
 def test_license_places_equal_a_plain_search(odd, texts):
     cases = list(texts.values()) + ["Under the MIT license under the mit license.", "CC-BY-NC cc by nc by nc", "sunder the mit license", None, "", "under the mit license2", "undr the mit licence", "apache licence version 2", "apache license version 3", "cc by nd"]
     base = {n.phrase: n.label for n in license_scan.NOTICES[: license_scan.BASE]}
@@ -148,6 +188,83 @@ def test_notices_close_together_equal_all_word_spans():
                 assert [s[1:] for s in found if s[0] == k] == plain(notice, text)
 
 
+@pytest.mark.parametrize("text", ["under the mit license " * 8000, "under the mit licens under the mit license2 " * 3000, "license " * 20000, "x" * 200_000])
+def test_notices_in_long_texts_take_linear_time(text):
+    import time
+
+    scanner, seconds = license_scan.Scanner(license_scan.NOTICES), []
+    for part in (text[: len(text) // 4], text):
+        began = time.process_time()
+        scanner.batch(pa.array([1]), pa.array([part]))
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 10 * seconds[0] + 0.5
+
+
+@pytest.mark.parametrize("unit", ["a1", "a@a1", "1 2 ", "word 12 words and ", "1.2.3.4 ", "4111 1111 1111 1111 12 ", "+1 (456) 555-2186 "])
+def test_pseudonyms_of_long_texts_take_linear_time(unit):
+    import time
+
+    work, seconds = pseudonyms.Pseudonyms(b"key"), []
+    for size in (20_000, 80_000):
+        began = time.process_time()
+        work.text("a@" + unit * (size // len(unit)))
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 9 * seconds[0] + 0.5
+
+
+def test_prose_of_megabytes():
+    import time
+
+    began = time.process_time()
+    text = "some words about 12 things in the year 1999 and no tab at all, " * 60_000
+    assert pseudonyms.Pseudonyms(b"key").text(text) == (text, [0] * len(pseudonyms.KINDS)) and time.process_time() - began < 20
+
+
+def test_clean_numbers_are_left_alone():
+    work = pseudonyms.Pseudonyms(b"key")
+    for clean in ("order 123-456-7890", "table 100 200 3000", "version 10.0.0.1 and v 1.2.3.4", "Release: 7.20.3.11", "part 555-0123", "5 000 000 people", "isbn 978-3-16-148410-0", "3.14159 2.71828", "1,000,000.50", "room 12-34-5678"):
+        assert work.text(clean) == (clean, [0] * len(pseudonyms.KINDS)), clean
+
+
+def test_values_equal_a_plain_search_of_tokens():
+    """Values of every kind among words and numbers that are none, found token by token."""
+    import random
+    import string
+
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choices(string.digits, k=n))
+
+    def card():
+        body = "4" + digits(14)
+        total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(body))
+        return body + str(-total % 10)
+
+    def iban():
+        rest = digits(18)
+        return f"DE{98 - int(rest + '131400') % 97:02d}{rest}"
+
+    make = {
+        "email": lambda: f"{rng.choice(('ann', 'b.c', 'x_y'))}{digits(2)}@{rng.choice(('site', 'my-mail'))}.example.{rng.choice(('com', 'org'))}",
+        "phone": lambda: rng.choice((f"+1 ({rng.randint(200, 989)}) 555-{digits(4)}", f"({rng.randint(200, 989)}) {rng.randint(200, 989)}-{digits(4)}", f"{rng.randint(200, 989)}-{rng.randint(200, 989)}-{digits(4)}")),
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "card": card, "iban": iban,
+        "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", "secret": lambda: "".join(rng.choices("0123456789abcdef", k=38)) + "ab",
+    }
+    none = ("word", "12", "3.5", "a-b", "x@y", "1999", "12:30", "70%", "C3PO", "(see", "12,000")
+    work, back = pseudonyms.Pseudonyms(b"key"), pseudonyms.Pseudonyms(b"key", back=True)
+    seen = {}
+    for _ in range(150):
+        tokens = [(None, rng.choice(none)) if rng.random() < 0.6 else (k := rng.choice(pseudonyms.KINDS), make[k]()) for _ in range(rng.randrange(1, 30))]
+        text = " | ".join(t for _, t in tokens)
+        new, counts = work.text(text)
+        want = {k: sum(kind == k for kind, _ in tokens) for k in pseudonyms.KINDS}
+        assert dict(zip(pseudonyms.KINDS, counts)) == want and back.text(new)[0] == text
+        for (kind, old), now in zip(tokens, new.split(" | "), strict=True):
+            assert (old == now) == (kind is None) or kind is not None
+            assert seen.setdefault(old, now) == now  # the same wherever it stands
+            assert kind is None or re.sub("[a-z]", "a", re.sub(r"\d", "9", old)) == re.sub("[a-z]", "a", re.sub(r"\d", "9", now)) or kind in ("ip", "secret")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(2, 1 << 80), st.data())
 def test_permutation_turns_back(size, data):
