@@ -47,9 +47,24 @@ NOTICES = (
     Notice("permission is hereby granted free of charge", "mit-text", 4),
     Notice("redistribution and use in source and binary forms", "bsd", 4),
     Notice("all rights reserved", "proprietary", 2, ("all", "rights")),
+    Notice("gnu lesser general public license", "lgpl", 3, ("lesser",)),
+    Notice("gnu affero general public license", "agpl", 3, ("affero",)),
+    Notice("eclipse public license", "epl", 2, ("eclipse",)),
+    Notice("boost software license", "bsl", 2, ("boost",)),
+    Notice("creative commons attribution", "cc-by", 3, ("commons",)),
+    Notice("creative commons zero", "cc0", 2, ("commons", "zero")),
+    Notice("permission to use copy modify and or distribute this software", "isc-text", 5),
+    Notice("the software is provided as is without warranty of any kind", "no-warranty", 5),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    Notice("licensed under the apache license", "apache", 3, ("apache",)),
+    Notice("may be used to endorse or promote products derived from this software", "bsd-3", 5),
+    Notice("do not redistribute without permission", "proprietary", 3, ("not",)),
 )
 BASE = 3
 
+#: Notices that a table may hold: they are looked for all at once in every task.
+MOST_NOTICES = 10_000
+
 SPAN = "struct<label: string, first_char: int, last_char: int, first_word: int, n_words: int, edits: int, exact: boolean>"
 SCHEMA = f"doc_id long, n_words long, spans array<{SPAN}>"
 
@@ -144,6 +159,25 @@ class Scanner:
         return pa.RecordBatch.from_arrays([ids, pa.array(words.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "n_words", "spans"])
 
 
+def notices_of(table: DataFrame) -> tuple[Notice, ...]:
+    """Notices from a table phrase, label, edits, core (array of words, null: none); no more than MOST_NOTICES.
+
+    Phrases are lower-cased and reduced to their words, as texts are. An error is
+    raised for phrases without words, and for more edits than a phrase has pieces for.
+    """
+    rows = table.select("phrase", "label", "edits", "core").limit(MOST_NOTICES + 1).collect()
+    if len(rows) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} notices")
+    out = []
+    for r in sorted(rows, key=lambda r: (r.label, r.phrase)):
+        flat, _ = textbuf.spaced(textbuf.words(*textbuf.as_texts(pa.array([r.phrase])), textbuf.ALNUM))
+        phrase = flat.tobytes().decode().strip(" ")
+        if not phrase or not 0 <= r.edits < len(phrase) // 4:
+            raise ValueError(f"{r.label}: {r.phrase!r} within {r.edits} edits")
+        out.append(Notice(phrase, r.label, r.edits, tuple(r.core or ())))
+    return tuple(out)
+
+
 def license_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """Per document: doc_id, n_words, spans of notices.
 

@@ -188,6 +188,17 @@ def test_notices_close_together_equal_all_word_spans():
                 assert [s[1:] for s in found if s[0] == k] == plain(notice, text)
 
 
+def test_notices_from_a_table(spark):
+    table = spark.createDataFrame([("Under the ACME licence, v1", "acme", 2, ["acme"]), ("as is", "as-is", 0, None)], "phrase string, label string, edits int, core array<string>")
+    notices = license_scan.notices_of(table)
+    assert [(n.phrase, n.label, n.edits, n.core) for n in notices] == [("under the acme licence v1", "acme", 2, ("acme",)), ("as is", "as-is", 0, ())]
+    docs = spark.createDataFrame([(1, "sold as is, undr the acme license v1")], "doc_id long, text string")
+    (row,) = license_scan.license_spans(docs, notices=notices).collect()
+    assert [(s.label, s.first_word, s.edits) for s in row.spans] == [("as-is", 1, 0), ("acme", 3, 2)]
+    with pytest.raises(ValueError):
+        license_scan.notices_of(table.selectExpr("phrase", "label", "20 edits", "core"))
+
+
 @pytest.mark.parametrize("text", ["under the mit license " * 8000, "under the mit licens under the mit license2 " * 3000, "license " * 20000, "x" * 200_000])
 def test_notices_in_long_texts_take_linear_time(text):
     import time
