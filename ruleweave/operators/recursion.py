@@ -15,6 +15,8 @@ from ..errors import RoundLimit, RuleError
 
 #: Rows up to which what a round has found is sent to all executors, so that the rows so far stay where they are.
 SENT_ROWS = 100_000
+#: Rows so far up to which shuffling them takes less than finding out how many a round has found.
+MOVED_ROWS = 2_000_000
 #: Values that one row is expanded to at most at once.
 SPAN = 1 << 16
 MOST_ROUNDS = 10_000
@@ -55,14 +57,15 @@ def freed(df: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _fresh(found: DataFrame, whole: DataFrame) -> DataFrame:
-    """Different rows of found that whole doesn't have. Few rows are sent to whole's, which then aren't shuffled."""
-    found = stored(found.distinct())
-    if found.limit(SENT_ROWS + 1).count() > SENT_ROWS:
-        return stored(found.subtract(whole))
-    names = [f"_{i}" for i in range(len(found.columns))]
-    known = whole.toDF(*names).join(F.broadcast(found.toDF(*names)), names, "left_semi")
-    return stored(found.toDF(*names).join(F.broadcast(known), names, "left_anti").toDF(*found.columns))
+def _fresh(found: DataFrame, whole: DataFrame, size: int) -> DataFrame:
+    """Different rows of found that whole, of `size` rows, doesn't have. Few rows are sent to whole's, if those are many, and whole isn't shuffled."""
+    if size > MOVED_ROWS:
+        found = stored(found.distinct())
+        if found.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+            names = [f"_{i}" for i in range(len(found.columns))]
+            known = whole.toDF(*names).join(F.broadcast(found.toDF(*names)), names, "left_semi")
+            return stored(found.toDF(*names).join(F.broadcast(known), names, "left_anti").toDF(*found.columns))
+    return stored(found.subtract(whole))
 
 
 def fixpoints(bases: Tables, step: Callable[[Tables, Tables], Tables], most_rounds: int = MOST_ROUNDS) -> dict[str, DataFrame]:
@@ -70,19 +73,22 @@ def fixpoints(bases: Tables, step: Callable[[Tables, Tables], Tables], most_roun
 
     step(new, all): what follows from rows of which at least one is new; it gets the
     rows of the last round and all rows so far, by name, and returns rows by name.
-    A round works on the new rows only: few of them are sent to the rows so far, many
-    are shuffled against them. RoundLimit is raised if rows still come after most_rounds.
+    A round works on the new rows only: few of them are sent to the rows so far, if
+    those are many; else both are shuffled. RoundLimit is raised if rows still come after most_rounds.
     """
     pieces = {n: [stored(df.distinct())] for n, df in bases.items()}
     new = {n: p[0] for n, p in pieces.items()}
+    sizes = {n: df.count() for n, df in new.items()}
     for _ in range(most_rounds):
         whole = {n: reduce(DataFrame.union, p) for n, p in pieces.items()}
         found = step(new, whole)
-        new = {n: _fresh(found[n].toDF(*df.columns), df) if n in found else df.limit(0) for n, df in whole.items()}
-        grown = [n for n, df in new.items() if not df.isEmpty()]
+        new = {n: _fresh(found[n].toDF(*df.columns), df, sizes[n]) if n in found else df.limit(0) for n, df in whole.items()}
+        more = {n: df.count() if n in found else 0 for n, df in new.items()}
+        grown = [n for n in more if more[n]]
         if not grown:
             return whole
         for n in grown:
+            sizes[n] += more[n]
             pieces[n].append(new[n])
             if len(pieces[n]) > GATHER:
                 pieces[n] = [stored(reduce(DataFrame.union, pieces[n]))]
@@ -95,10 +101,13 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
 
 
 def closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(a, b) reachable over one or more edges (a, b); cycles are fine."""
+    """(a, b) reachable over one or more edges (a, b); cycles are fine.
+
+    Each round joins the pairs of the last one with all so far, so that the distance
+    covered doubles: a pair twice as far apart has one between that came last.
+    """
     a, b = edges.columns
-    far = edges.toDF("middle", "end")
-    return fixpoint(edges, lambda new, _: new.toDF("start", "middle").join(far, "middle").select("start", "end"), most_rounds).toDF(a, b)
+    return fixpoint(edges, lambda new, whole: new.toDF("start", "middle").join(whole.toDF("middle", "end"), "middle").select("start", "end"), most_rounds).toDF(a, b)
 
 
 def counted(df: DataFrame, column: str, limit: Column | int | str, step: int = 1) -> DataFrame:
