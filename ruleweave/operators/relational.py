@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import TypeMismatch, Unconnected, WrongArity
 
 #: Rows up to which one side of a product is sent to all executors.
 PRODUCT_ROWS = 100_000
+#: Pairs that a task compares, about, where rows that agree on their keys are compared by more.
+TASK_PAIRS = 20_000_000
+#: Rows of one key that are compared at once with as many of the other side.
+BLOCK_ROWS = 4096
+MOST_TASKS = 10_000
 
 
 def derive(df: DataFrame, *names: str, **exprs: Column | str) -> DataFrame:
@@ -44,7 +50,53 @@ def meet(left: DataFrame, right: DataFrame, *where: Column | str) -> DataFrame:
         if ("NestedLoop" in plan or "Cartesian" in plan) and all(side.limit(PRODUCT_ROWS + 1).count() > PRODUCT_ROWS for side in (right, left)):
             raise Unconnected(f"no equal columns, and both sides have more than {PRODUCT_ROWS} rows; see within()")
         return made
-    return reduce(DataFrame.where, conditions, left.join(right, keys))
+    return reduce(DataFrame.where, conditions, _compared(left, right, keys) if conditions else left.join(right, keys))
+
+
+def _compared(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on keys, for conditions that are then put to all its pairs; dealt out by the number of pairs.
+
+    Few keys with many rows each have few bytes and very many pairs, which Spark would
+    leave to a few tasks. A key's rows are dealt into blocks of about BLOCK_ROWS, and
+    each block of one side meets each of the other in a task of its own choice.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(left, "left rows").join(count(right, "right rows"), keys)
+    groups, pairs = sizes.agg(F.count(F.lit(1)), F.sum(F.col("left rows").cast("double") * F.col("right rows"))).first()
+    if (pairs or 0) <= TASK_PAIRS:
+        return left.join(right, keys)
+    blocks = lambda name: F.ceil(F.col(f"{name} rows") / BLOCK_ROWS).alias(f"{name} blocks")
+    sizes = sizes.select(*keys, blocks("left"), blocks("right"))
+    sizes = F.broadcast(sizes) if groups <= PRODUCT_ROWS else sizes
+    at = ["left block", "right block"]
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col(f"{own} blocks"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other} blocks") - 1))
+        df = df.join(sizes, keys).select(*df.columns, mine.alias(f"{own} block"), every.alias(f"{other} block"))
+        return df.repartition(min(MOST_TASKS, int(pairs // TASK_PAIRS) + 1), *keys, *at)
+
+    return dealt(left, "left", "right").hint("merge").join(dealt(right, "right", "left"), [*keys, *at]).drop(*at)
+
+
+def matched(left: DataFrame, right: DataFrame, a: str, b: str, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Different pairs of left's a and right's b in join(left, right), an inner join with any conditions.
+
+    A value that stands in one different row of its side makes no pair twice; only pairs
+    of a value that stands in several are compared with one another.
+    """
+
+    def split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        df = df.distinct().withColumn("its rows", F.count(F.lit(1)).over(Window.partitionBy(key)))
+        return df.where("`its rows` = 1").drop("its rows"), df.where("`its rows` > 1").drop("its rows")
+
+    (left, lefts), (right, rights) = split(left, a), split(right, b)
+    pairs, again = join(left, right).select(a, b), []
+    if not lefts.isEmpty():
+        again += [join(lefts, right), join(lefts, rights)]
+    if not rights.isEmpty():
+        again.append(join(left, rights))
+    return pairs.union(reduce(DataFrame.union, [x.select(a, b) for x in again]).distinct()) if again else pairs
 
 
 def within(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:

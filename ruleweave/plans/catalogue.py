@@ -12,7 +12,7 @@ from ..functions.scalar import joined, printed, quotient, remainder
 from ..operators.aggregate import aggregate
 from ..operators.located import outbox
 from ..operators.recursion import added_up, closure, counted, fixpoint, fixpoints, shared_folder
-from ..operators.relational import both, derive, either, having, meet, minus, product, renamed, unless, within
+from ..operators.relational import both, derive, either, having, matched, meet, minus, product, renamed, unless, within
 from ..sources.durable import DurableTable
 from ..sources.tables import load, ticks
 from .rules import RuleBook
@@ -123,16 +123,19 @@ def join_equal_qual(spark, d):
     return derive(meet(load(spark, d, "supplier"), load(spark, d, "nation"), "s_nationkey = n_nationkey"), "s_suppkey", "n_name")
 
 
+def _balances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s, c = load(spark, d, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]), load(spark, d, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
+    return s.withColumnRenamed("s_nationkey", "nation"), c.withColumnRenamed("c_nationkey", "nation")
+
+
 @query("SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal < c_acctbal")
 def join_theta(spark, d):
-    s = load(spark, d, "supplier").withColumnRenamed("s_nationkey", "nation")
-    return derive(meet(s, load(spark, d, "customer").withColumnRenamed("c_nationkey", "nation"), "s_acctbal < c_acctbal"), "s_suppkey", "c_custkey")
+    return matched(*_balances(spark, d), "s_suppkey", "c_custkey", lambda s, c: meet(s, c, "s_acctbal < c_acctbal"))
 
 
 @query("SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal <= c_acctbal AND c_acctbal <= s_acctbal + 500.0")
 def join_range(spark, d):
-    s = load(spark, d, "supplier").withColumnRenamed("s_nationkey", "nation")
-    c = load(spark, d, "customer").withColumnRenamed("c_nationkey", "nation")
+    s, c = _balances(spark, d)
     s = s.withColumn("high", F.col("s_acctbal") + 500.0)
     return derive(within(s, c, "c_acctbal", "s_acctbal", "high", 500.0), "s_suppkey", "c_custkey")
 
