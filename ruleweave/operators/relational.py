@@ -108,7 +108,7 @@ def within(left: DataFrame, right: DataFrame, value: str, low: str, high: str, w
     keys = [c for c in left.columns if c in right.columns]
     bucket = lambda c: F.floor(F.col(c) / F.lit(float(width)))
     reach = left.where(F.col(low) <= F.col(high)).withColumn("its bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    made = reach.join(right.withColumn("its bucket", bucket(value)), [*keys, "its bucket"]).drop("its bucket")
+    made = _compared(reach, right.withColumn("its bucket", bucket(value)), [*keys, "its bucket"]).drop("its bucket")
     return made.where((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
 
 

@@ -137,7 +137,7 @@ def join_theta(spark, d):
 def join_range(spark, d):
     s, c = _balances(spark, d)
     s = s.withColumn("high", F.col("s_acctbal") + 500.0)
-    return derive(within(s, c, "c_acctbal", "s_acctbal", "high", 500.0), "s_suppkey", "c_custkey")
+    return matched(s, c, "s_suppkey", "c_custkey", lambda s, c: within(s, c, "c_acctbal", "s_acctbal", "high", 500.0))
 
 
 @query("SELECT DISTINCT n_name, r_name FROM nation, region")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.operators import relational
-from ruleweave.operators.relational import matched, meet
+from ruleweave.operators.relational import matched, meet, within
 
 
 @pytest.fixture
@@ -34,6 +34,13 @@ def test_comparisons_within_few_keys_are_dealt_out(spark, small_tasks):
     assert largest_share(made) < 0.2
 
 
+def test_ranges_within_few_keys_are_dealt_out(spark, small_tasks):
+    s, c, left, right = sides(spark, 600, 900)
+    made = within(left.withColumn("high", F.col("x") + 500.0), right, "y", "x", "high", 500.0)
+    assert made.count() == sum(x <= y <= x + 500 for _, k, x in s for _, h, y in c if k == h)
+    assert largest_share(made) < 0.2
+
+
 def test_pairs_of_repeated_values_come_once(spark, small_tasks):
     s, c, left, right = sides(spark, 300, 400, ids=350)
     left, right = left.union(left.limit(20)).union(spark.createDataFrame([(None, 0, 3.0), (None, 1, 3.0)], left.schema)), right.union(right.limit(20))
