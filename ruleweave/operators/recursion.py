@@ -19,6 +19,9 @@ SENT_ROWS = 100_000
 MOVED_ROWS = 2_000_000
 #: Values that one row is expanded to at most at once.
 SPAN = 1 << 16
+#: Values that a task counts, about.
+TASK_VALUES = 8 * SPAN
+MOST_TASKS = 10_000
 MOST_ROUNDS = 10_000
 #: Rounds after which the pieces of a relation are put together again, so that plans stay short.
 GATHER = 16
@@ -122,12 +125,19 @@ def counted(df: DataFrame, column: str, limit: Column | int | str, step: int = 1
     at, size = F.col(f"`{column}`"), abs(step)
     room = (end - at if step > 0 else at - end) + size - 1
     rounds = F.greatest(F.lit(0).cast("long"), F.call_function("div", room, F.lit(size).cast("long")))
-    # ranges of SPAN values first, dealt to all tasks
-    parts = df.withColumn("rounds left", rounds).withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("rounds left"), F.lit(SPAN)))))
+    # starts of one sequence run into one another: the farthest has all values below the limit, and only last values may repeat
+    others, counts = [F.col(f"`{c}`") for c in df.columns if c != column], df.withColumn("rounds left", rounds)
+    last = counts.withColumn(column, at + F.col("rounds left") * step).select(*df.columns).distinct()
+    first = F.max_by if step < 0 else F.min_by
+    whole = counts.where("`rounds left` > 0").groupBy(*others, end.alias("its limit"), F.pmod(at, F.lit(size)).alias("its residue"))
+    whole = whole.agg(first("rounds left", at).alias("rounds left"), (F.max if step < 0 else F.min)(at).alias(column))
+    # ranges of SPAN values, dealt to tasks by the number of all values
+    total = counts.agg(F.sum(F.col("rounds left").cast("double"))).first()[0] or 0
+    parts = whole.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("rounds left") - 1, F.lit(SPAN)))))
+    parts = parts.repartition(min(MOST_TASKS, int(total // TASK_VALUES) + 1), *others, at, F.col("range"))
     begin = F.col("range") * SPAN
-    values = F.sequence(begin, F.least(begin + (SPAN - 1), F.col("rounds left")))
-    parts = parts.repartition(F.col("range"), at).withColumn("round", F.explode(values))
-    return parts.withColumn(column, at + F.col("round") * step).select(*df.columns).distinct()
+    values = F.sequence(begin, F.least(begin + SPAN, F.col("rounds left")) - 1)
+    return parts.withColumn("round", F.explode(values)).withColumn(column, at + F.col("round") * step).select(*df.columns).union(last)
 
 
 def added_up(spark: SparkSession, start: float, step: float, limit: float, name: str = "x") -> DataFrame:

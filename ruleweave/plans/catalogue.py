@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import joined, printed, quotient, remainder
-from ..operators.aggregate import aggregate
+from ..operators.aggregate import aggregate, aggregate_set
 from ..operators.located import outbox
 from ..operators.recursion import added_up, closure, counted, fixpoint, fixpoints, shared_folder
 from ..operators.relational import both, derive, either, having, matched, meet, minus, product, renamed, unless, within
@@ -375,7 +375,7 @@ def rec_counter(spark, d):
 @query("SELECT s_suppkey AS g, count(*) AS n FROM supplier, generate_series(0, 1000) AS t(x) GROUP BY ALL")
 def rec_counter_agg(spark, d):
     start = derive(load(spark, d, "supplier", ["s_suppkey"]), g="s_suppkey", x="cast(0 as bigint)")
-    return aggregate(counted(start, "x", 1000), ["g"], n=("count", "x"))
+    return aggregate_set(counted(start, "x", 1000), ["g"], n=("count", "x"))
 
 
 @query("WITH RECURSIVE t AS (SELECT CAST(0.0 AS DOUBLE) AS x UNION ALL SELECT x + CAST(0.3 AS DOUBLE) FROM t WHERE x < 60.0) SELECT round(x, 9) AS x FROM t")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.operators import relational
+from ruleweave.operators.aggregate import aggregate_set
+from ruleweave.operators.recursion import counted
 from ruleweave.operators.relational import matched, meet, within
 
 
@@ -47,3 +49,20 @@ def test_pairs_of_repeated_values_come_once(spark, small_tasks):
     want = {(i, j) for i, k, x in [*s, (None, 0, 3.0), (None, 1, 3.0)] for j, h, y in c if k == h and x < y}
     got = [tuple(r) for r in matched(left, right, "s", "c", lambda x, y: meet(x, y, "x < y")).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize(("step", "limit"), ((3, 20), (1, 7), (-4, -11), (-1, 2)))
+def test_counting_from_many_starts_that_run_into_one_another(spark, step, limit):
+    rng = random.Random(step)
+    starts = {(g, rng.randrange(-25, 25)) for g in "ab" for _ in range(14)} | {("c", limit), ("c", limit + step), ("d", None)}
+    want = set(starts)
+    while more := {(g, x + step) for g, x in want if x is not None and (x < limit if step > 0 else x > limit)} - want:
+        want |= more
+    got = [tuple(r) for r in counted(spark.createDataFrame(sorted(starts, key=str), "g string, x long"), "x", limit, step).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_counting_from_many_starts_is_dealt_out(spark):
+    made = counted(spark.range(4000).selectExpr("id AS g", "0L AS x"), "x", 1000)
+    assert largest_share(made.where("x < 1000")) < 0.4
+    assert aggregate_set(made, ["g"], n=("count", "x")).agg(F.count("*"), F.min("n"), F.max("n")).first() == (4000, 1001, 1001)
