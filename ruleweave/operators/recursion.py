@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import RoundLimit, RuleError
 
@@ -60,15 +62,23 @@ def freed(df: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _fresh(found: DataFrame, whole: DataFrame, size: int) -> DataFrame:
-    """Different rows of found that whole, of `size` rows, doesn't have. Few rows are sent to whole's, if those are many, and whole isn't shuffled."""
-    if size > MOVED_ROWS:
-        found = stored(found.distinct())
-        if found.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+def written(df: DataFrame) -> DataFrame:
+    """df computed once, into Parquet files in the shared folder: read by columns, counted by their footers, and of a size that Spark plans by."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.toDF(*[f"_{i}" for i in range(len(df.columns))]).write.parquet(path)
+    kinds = T.StructType([T.StructField(f"_{i}", f.dataType, True, f.metadata) for i, f in enumerate(df.schema)])
+    return spark.read.schema(kinds).parquet(path).toDF(*df.columns)
+
+
+def _fresh(found: DataFrame, whole: DataFrame, size: int, few: bool) -> DataFrame:
+    """Different rows of found that whole, of `size` rows, doesn't have. If few are expected, they are sent to whole's, if those are many, and whole isn't shuffled."""
+    if size > MOVED_ROWS and few:
+        found = written(found.distinct())
+        if found.count() <= SENT_ROWS:
             names = [f"_{i}" for i in range(len(found.columns))]
             known = whole.toDF(*names).join(F.broadcast(found.toDF(*names)), names, "left_semi")
-            return stored(found.toDF(*names).join(F.broadcast(known), names, "left_anti").toDF(*found.columns))
-    return stored(found.subtract(whole))
+            return written(found.toDF(*names).join(F.broadcast(known), names, "left_anti").toDF(*found.columns))
+    return written(found.subtract(whole))
 
 
 def fixpoints(bases: Tables, step: Callable[[Tables, Tables], Tables], most_rounds: int = MOST_ROUNDS) -> dict[str, DataFrame]:
@@ -77,16 +87,20 @@ def fixpoints(bases: Tables, step: Callable[[Tables, Tables], Tables], most_roun
     step(new, all): what follows from rows of which at least one is new; it gets the
     rows of the last round and all rows so far, by name, and returns rows by name.
     A round works on the new rows only: few of them are sent to the rows so far, if
-    those are many; else both are shuffled. RoundLimit is raised if rows still come after most_rounds.
+    those are many; else both are shuffled. Relations without new rows are given as
+    empty ones. RoundLimit is raised if rows still come after most_rounds.
     """
-    pieces = {n: [stored(df.distinct())] for n, df in bases.items()}
+    pieces = {n: [written(df.distinct())] for n, df in bases.items()}
     new = {n: p[0] for n, p in pieces.items()}
-    sizes = {n: df.count() for n, df in new.items()}
+    more = {n: df.count() for n, df in new.items()}
+    sizes = dict(more)
     for _ in range(most_rounds):
         whole = {n: reduce(DataFrame.union, p) for n, p in pieces.items()}
         found = step(new, whole)
-        new = {n: _fresh(found[n].toDF(*df.columns), df, sizes[n]) if n in found else df.limit(0) for n, df in whole.items()}
+        few = sum(more.values()) <= SENT_ROWS
+        new = {n: _fresh(found[n].toDF(*df.columns), df, sizes[n], few) if n in found else df.limit(0) for n, df in whole.items()}
         more = {n: df.count() if n in found else 0 for n, df in new.items()}
+        new = {n: df if more[n] else df.limit(0) for n, df in new.items()}
         grown = [n for n in more if more[n]]
         if not grown:
             return whole
@@ -94,7 +108,7 @@ def fixpoints(bases: Tables, step: Callable[[Tables, Tables], Tables], most_roun
             sizes[n] += more[n]
             pieces[n].append(new[n])
             if len(pieces[n]) > GATHER:
-                pieces[n] = [stored(reduce(DataFrame.union, pieces[n]))]
+                pieces[n] = [written(reduce(DataFrame.union, pieces[n]))]
     raise RoundLimit(f"still growing after {most_rounds} rounds: {', '.join(grown)}")
 
 
@@ -103,14 +117,31 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
     return fixpoints({"": base}, lambda new, whole: {"": step(new[""], whole[""])}, most_rounds)[""]
 
 
-def closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS, along: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(a, b) reachable over one or more edges (a, b); cycles are fine.
 
-    Each round joins the pairs of the last one with all so far, so that the distance
-    covered doubles: a pair twice as far apart has one between that came last.
+    along: edges have a third column; that of a walk is along(its first part's, its
+    second part's), which must be associative. Rows are then (a, b, what comes along).
+
+    A round joins the pairs exactly 1, 2, 4, 8, ... edges apart with all pairs up to
+    as far, so that the distance covered doubles, and each distance is made in one way.
     """
-    a, b = edges.columns
-    return fixpoint(edges, lambda new, whole: new.toDF("start", "middle").join(whole.toDF("middle", "end"), "middle").select("start", "end"), most_rounds).toDF(a, b)
+    names, extra = edges.columns, [along(F.col("x"), F.col("y"))] if along else []
+    ends = lambda *of: of if along else of[:2]
+    join = lambda x, y: x.toDF(*ends("start", "middle", "x")).join(y.toDF(*ends("middle", "end", "y")), "middle").select("start", "end", *extra).toDF(*names)
+    apart = written(edges.distinct())
+    pieces, size = [apart], apart.count()
+    more = size
+    for round_ in range(most_rounds):
+        whole = reduce(DataFrame.union, pieces)
+        if round_:
+            apart = written(join(apart, apart).distinct())
+        new = _fresh(join(apart, whole), whole, size, more <= SENT_ROWS)
+        more = new.count()
+        if not more:
+            return whole
+        pieces, size = [*pieces, new], size + more
+    raise RoundLimit(f"still growing after {most_rounds} rounds")
 
 
 def counted(df: DataFrame, column: str, limit: Column | int | str, step: int = 1) -> DataFrame:

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ruleweave.operators import relational
+from ruleweave.operators import recursion, relational
 from ruleweave.operators.aggregate import aggregate_set
-from ruleweave.operators.recursion import counted
+from ruleweave.operators.recursion import closure, counted, fixpoint
 from ruleweave.operators.relational import matched, meet, within
 
 
@@ -66,3 +66,30 @@ def test_counting_from_many_starts_is_dealt_out(spark):
     made = counted(spark.range(4000).selectExpr("id AS g", "0L AS x"), "x", 1000)
     assert largest_share(made.where("x < 1000")) < 0.4
     assert aggregate_set(made, ["g"], n=("count", "x")).agg(F.count("*"), F.min("n"), F.max("n")).first() == (4000, 1001, 1001)
+
+
+def test_closure_makes_each_distance_once(spark, monkeypatch):
+    """On a path all pairs are made in one way each: no more rows come out of a round's join than are new."""
+    made, fresh = [], recursion._fresh
+    monkeypatch.setattr(recursion, "_fresh", lambda found, *rest: made.append(found.count()) or fresh(found, *rest))
+    got = {tuple(r) for r in closure(spark.range(1, 40).selectExpr("id AS a", "id - 1 AS b")).collect()}
+    assert got == {(a, b) for a in range(1, 40) for b in range(a)}
+    assert sum(made) == len(got) - 39
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_closure_with_what_comes_along(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(8), rng.randrange(8), True) for _ in range(11)}
+    want = set(edges)
+    while more := {(a, d, not odd) for a, b, odd in want for c, d, _ in edges if b == c} - want:
+        want |= more
+    got = [tuple(r) for r in closure(spark.createDataFrame(sorted(edges), "a long, b long, odd boolean"), along=lambda x, y: x != y).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_rounds_keep_columns_and_types(spark):
+    base = spark.createDataFrame([(1, "a,b", 0.5, True), (2, None, None, False)], "`x y` long, s string, d double, f boolean")
+    got = fixpoint(base, lambda new, _: new.where("`x y` < 4").selectExpr("`x y` + 2", "s", "d", "f"))
+    assert [(c.name, c.dataType) for c in got.schema] == [(c.name, c.dataType) for c in base.schema]
+    assert {tuple(r) for r in got.collect()} == {(1, "a,b", 0.5, True), (3, "a,b", 0.5, True), (5, "a,b", 0.5, True), (2, None, None, False), (4, None, None, False)}
