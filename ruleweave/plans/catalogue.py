@@ -391,7 +391,7 @@ def rec_then_neg(spark, d):
 
 @query(f"WITH RECURSIVE {_SQL_TREE} SELECT b, count(*) AS n FROM r GROUP BY b")
 def rec_then_agg(spark, d):
-    return aggregate(closure(_parents(spark, d)), ["b"], n=("count", "a"))
+    return aggregate_set(closure(_parents(spark, d)), ["b"], n=("count", "a"))
 
 
 @query("""WITH a1 AS (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'),
