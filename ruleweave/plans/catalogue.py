@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import joined, printed, quotient, remainder
 from ..operators.aggregate import aggregate, aggregate_set
 from ..operators.located import outbox
-from ..operators.recursion import added_up, closure, counted, fixpoint, fixpoints, shared_folder
+from ..operators.recursion import added_up, closure, counted, fixpoint, fixpoints, shared_folder, written
 from ..operators.relational import both, derive, either, having, matched, meet, minus, product, renamed, unless, within
 from ..sources.durable import DurableTable
 from ..sources.tables import load, ticks
@@ -362,7 +362,7 @@ def rec_cyclic(spark, d):
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS a, '/' || p_partkey AS path FROM part WHERE p_partkey IN (1, 2, 3)
     UNION SELECT p_partkey, r.path || '/' || p_partkey FROM r JOIN part ON p_partkey // 2 = r.a AND p_partkey > 3) SELECT a, path FROM r""")
 def rec_string_path(spark, d):
-    part = derive(load(spark, d, "part", ["p_partkey"]), child="p_partkey", a=quotient("p_partkey", 2))
+    part = written(derive(load(spark, d, "part", ["p_partkey"]), child="p_partkey", a=quotient("p_partkey", 2)))
     base = derive(part.where("child in (1, 2, 3)"), a="child", path=joined(F.lit("/"), F.col("child").cast("string")))
     return fixpoint(base, lambda new, _: new.join(part.where("child > 3"), "a").select(F.col("child").alias("a"), joined("path", F.lit("/"), F.col("child").cast("string")).alias("path")))
 
