@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import joined, printed, quotient, remainder
 from ..operators.aggregate import aggregate, aggregate_set
 from ..operators.located import outbox
-from ..operators.recursion import added_up, closure, counted, fixpoint, fixpoints, shared_folder, written
+from ..operators.recursion import added_up, closure, counted, fixpoint, shared_folder, written
 from ..operators.relational import both, derive, either, having, matched, meet, minus, product, renamed, unless, within
 from ..sources.durable import DurableTable
 from ..sources.tables import load, ticks
@@ -346,11 +346,8 @@ def rec_nonlinear(spark, d):
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0),
     r AS (SELECT a, b, 1 AS k FROM e UNION SELECT r.a, e.b, 1 - r.k FROM r JOIN e ON r.b = e.a) SELECT a, b, k = 1 AS odd FROM r""")
 def rec_mutual(spark, d):
-    edges = _parents(spark, d)
-    far = edges.toDF("m", "b")
-    hop = lambda x: x.toDF("a", "m").join(far, "m").select("a", "b")
-    found = fixpoints({"odd": edges, "even": edges.limit(0)}, lambda new, _: {"odd": hop(new["even"]), "even": hop(new["odd"])})
-    return either(found["odd"].withColumn("odd", F.lit(True)), found["even"].withColumn("odd", F.lit(False)))
+    """Odd walks are an edge, or an even one and an edge; even ones an odd one and an edge: the two relations are kept as one, and parities of parts are added."""
+    return closure(_parents(spark, d).withColumn("odd", F.lit(True)), along=lambda x, y: x != y)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey % 7 AS a, (n_nationkey * 3 + 1) % 7 AS b FROM nation),
