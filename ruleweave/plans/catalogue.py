@@ -339,8 +339,8 @@ def rec_linear(spark, d):
 
 @query(f"WITH RECURSIVE {_SQL_TREE} SELECT a, b FROM r")
 def rec_nonlinear(spark, d):
-    join = lambda x, y: x.toDF("a", "m").join(y.toDF("m", "b"), "m").select("a", "b")
-    return fixpoint(_parents(spark, d), lambda new, whole: join(new, whole).union(join(whole, new)))
+    """r(a, b) from r(a, m) and r(m, b): closure() joins the relation with itself."""
+    return closure(_parents(spark, d))
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0),
